@@ -8,15 +8,15 @@ import numpy as np
 import pyarrow as pa
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Chunks of the sorted input that end where a run of ``key`` ends; only the open run is carried over."""
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Chunks of the input, sorted by ``keys``, that end where a run of equal keys ends; only the open run is carried over."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(k[1:] != k[:-1])
-        if held and held[-1].column(key)[-1].as_py() != k[0]:
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True)):
             yield pa.Table.from_batches(held)
             held = []
         if len(cuts):
