@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import bpe, caps, chat, exact, packing, secrets, simhash, tokens
+from rillflow.llm import bpe, caps, chat, exact, packing, secrets, simhash, tokens, toxicity
 from rillflow.llm.common import scratch, table
 
 
@@ -19,6 +19,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op4_secret_scan, op5_chat_format, op7_packing, op8_spherical_caps, op9_bpe, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op4_secret_scan, op5_chat_format, op7_packing, op8_spherical_caps, op9_bpe, op10_simhash)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -56,8 +61,8 @@ ORACLE_SQL: dict[str, str] = {
     "op8_spherical_caps": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-              AND len(list_filter(embedding, e -> e <> 0)) > 0),
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+              AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
         u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
               ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
