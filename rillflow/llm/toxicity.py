@@ -3,7 +3,7 @@
 The lexicon holds the words whose share of toxic documents is beyond chance, and stems of inflected words, found
 greedily so that each stem explains documents that earlier ones don't. A lazily determinised product of the Levenshtein
 automata with the trie finds its words and their misspellings; a misspelling that is an ordinary word of clean
-documents doesn't count. A window around each hit tells quotation and report from abuse, and a logistic model
+documents doesn't count, and an entry that clean documents hold too counts as doubtful, as it stands only. A window around each hit tells quotation and report from abuse, and a logistic model
 over the counts by kind of window gives the score.
 """
 
@@ -35,7 +35,7 @@ WORD = re.compile(r"\w+")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
 REPORTING = frozenset("said says called calls quoted quote wrote writes word term slur insult phrase sagte nannte schrieb wort zitat dit appelé écrit mot terme citation dijo llamó escribió palabra término cita".split())
 DIRECTED = frozenset("you your youre u du dein deine ihr sie tu toi vous votre tú usted eres vos".split())
-FEATURES = ("bare", "bare_directed", "quoted", "misspelt", "misspelt_quoted")
+FEATURES = ("bare", "bare_directed", "quoted", "misspelt", "misspelt_quoted", "doubtful", "doubtful_quoted")
 
 
 def edits(entry: str, stem: bool) -> int:
@@ -46,11 +46,11 @@ def edits(entry: str, stem: bool) -> int:
 class Automaton:
     """All words within the allowed edits of some entry, as a deterministic automaton built where it is used."""
 
-    def __init__(self, lexicon: list[tuple[str, bool]]):
+    def __init__(self, lexicon: list[tuple[str, bool]], exact: bool = False):
         self.children: list[dict[str, int]] = [{}]
         self.most, self.ends, self.stems = [-1], [-1], [-1]
         for entry, stem in lexicon:
-            k, n = edits(entry, stem), 0
+            k, n = 0 if exact else edits(entry, stem), 0
             self.most[0] = max(self.most[0], k)
             for c in entry:
                 if c not in self.children[n]:
@@ -119,6 +119,7 @@ class Automaton:
 @dataclass
 class Model:
     lexicon: list[tuple[str, bool]] = field(default_factory=list)
+    doubtful: list[tuple[str, bool]] = field(default_factory=list)
     ordinary: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (0.0,) * len(FEATURES)
     bias: float = -10.0
@@ -139,15 +140,15 @@ class Scorer:
     """Counts a text's hits by kind of window."""
 
     def __init__(self, model: Model):
-        self.model, self.automaton = model, Automaton(model.lexicon)
+        self.model, self.automaton, self.doubtful = model, Automaton(model.lexicon), Automaton(model.doubtful, exact=True)
         self.memory: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
-        """0 for no hit, 1 for an entry itself, 2 for a misspelling of one."""
+        """0 for no hit, 1 for an entry itself, 2 for a misspelling of one, 3 for a doubtful entry."""
         k = self.memory.get(word)
         if k is None:
             e = self.automaton.edits(word)
-            k = 0 if e is None else 1 if e == 0 else 0 if word in self.model.ordinary else 2
+            k = 1 if e == 0 else 3 if self.doubtful.edits(word) == 0 else 0 if e is None or word in self.model.ordinary else 2
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
             if len(word) <= 40:
@@ -164,7 +165,7 @@ class Scorer:
             if k := hits.get(m[0]):
                 near = set(WORD.findall(text[max(0, m.start() - WINDOW) : m.start()])[-6:] + WORD.findall(text[m.end() : m.end() + WINDOW])[:3])
                 told = quoted(text, m.start(), m.end()) or bool(near & REPORTING)
-                counts[("misspelt_quoted" if told else "misspelt") if k == 2 else "quoted" if told else "bare_directed" if near & DIRECTED else "bare"] += 1
+                counts[("misspelt", "doubtful")[k - 2] + "_quoted" * told if k > 1 else "quoted" if told else "bare_directed" if near & DIRECTED else "bare"] += 1
         return list(counts.values())
 
 
@@ -196,8 +197,8 @@ def _term_counts(sample: DataFrame, wanted: set | None) -> dict[tuple[str, bool]
     return {(r["term"], r["stem"]): r["n"] for r in counts.where(F.col("n") >= (LEAST_DOCS if wanted is None else 1)).toLocalIterator()}
 
 
-def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
-    """Entries from ``sample(doc_id, text, toxic)``, whose size the caller has bounded.
+def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]]]:
+    """Clear and doubtful entries from ``sample(doc_id, text, toxic)``, whose size the caller has bounded.
 
     The statistic that an entry must reach grows with the number of terms tried, so that less than one is expected by chance.
     """
@@ -236,7 +237,8 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     whole = sorted(t for t in where if not t[1])
     # A stem that only one word begins with is that word.
     stems = [t for t in stems if sum(w[0].startswith(t[0]) for w in whole) != 1]
-    return [t for t in whole if not any(t[0].startswith(stem) for stem, _ in stems)] + stems
+    entries = [t for t in whole if not any(t[0].startswith(stem) for stem, _ in stems)] + stems
+    return [t for t in entries if t not in in_clean], [t for t in entries if t in in_clean]
 
 
 def _sketch(sample: DataFrame) -> DataFrame:
@@ -271,8 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     ids = ids.where(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     sample = id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).dropDuplicates(["doc_id"])
     sample = keep(_sketch(sample.select("doc_id", "text", "toxic")).dropDuplicates(["toxic", "sketch"]), "labelled")
-    model = Model(learn_lexicon(sample))
-    if not model.lexicon:
+    model = Model(*learn_lexicon(sample))
+    if not model.lexicon + model.doubtful:
         return model
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
     model.ordinary = frozenset(_misspellings(sample.where((half == 0) & (F.col("toxic") == 0)).select("text"), model))
