@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import bpe, caps, chat, exact, packing, secrets, simhash, tokens, toxicity
+from rillflow.llm import bpe, caps, chat, exact, packing, pages, secrets, simhash, tokens, toxicity
 from rillflow.llm.common import scratch, table
 
 
@@ -32,6 +32,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = table(spark, sf_dir, "pages")
+    return pages.extract(html, pages.train(html))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op4_secret_scan, op5_chat_format, op7_packing, op8_spherical_caps, op9_bpe, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op4_secret_scan, op5_chat_format, op6_html_extraction, op7_packing, op8_spherical_caps, op9_bpe, op10_simhash)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
