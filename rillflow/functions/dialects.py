@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rillflow.functions import query as q
 from rillflow.types import TCP_FLAGS
 
-_TERM = re.compile(r"\s*(&&|\|\|)?\s*([\w.]+)\s*(==|!=|>=|<=|>|<|&|\||\^)?\s*(\"[^\"]*\"|[\w.:/-]+)?")
+_TERM = re.compile(r"\s*(&&|\|\|)?\s*([\w.]+)\s*((?!&&|\|\|)(?:==|!=|>=|<=|>|<|&|\||\^))?\s*(\"[^\"]*\"|[\w.:/-]+)?")
 
 #: Display-filter fields and the flow columns or tests that they stand for.
 FIELDS = {"ip.src": "src_ip", "ip.dst": "dst_ip", "tcp.srcport": "src_port", "tcp.dstport": "dst_port", "udp.srcport": "src_port", "udp.dstport": "dst_port", "ip.proto": "l4_proto", "frame.len": "bytes_snt"}

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillflow.operators.folds import Fold, ordered_fold
 from rillflow.types import FLOW_TIMEOUT
 
 MICRO = 1_000_000
@@ -54,22 +54,22 @@ def inverted(first_flags: Column, src_port: Column, dst_port: Column) -> Column:
     return (first_flags.bitwiseAND(0x12) == 0x12) | ((src_port < 1024) & (src_port < dst_port))
 
 
-def lifespan_cut(packets: DataFrame, key: Sequence[str], limit: float, time_us: str = "t_us", order: str = "pkt_no") -> DataFrame:
-    """Cuts flows whose span since their first packet reaches ``limit`` seconds; ``part`` numbers the cuts.
+class _Cut(Fold):
+    def __init__(self, limit: int):
+        self.limit, self.part, self.first = limit, -1, None
 
-    Greedy, so a fold in time order, one session of a key at a time.
-    """
+    def add(self, t: int, number) -> list[tuple]:
+        if self.first is None or t - self.first >= self.limit:
+            self.part, self.first = self.part + 1, t
+        return [(number, self.part)]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([time_us, order])
-        parts, part, first = [], -1, None
-        for t in group[time_us].tolist():
-            if first is None or t - first >= limit * MICRO:
-                part, first = part + 1, t
-            parts.append(part)
-        return group.assign(part=parts)
 
-    return packets.groupBy(*key).applyInPandas(fold, packets.schema.add("part", "long"))
+def lifespan_cut(packets: DataFrame, key: Sequence[str], limit: float, time_us: str = "t_us", order: str = "pkt_no") -> DataFrame:
+    """Cuts flows whose span since their first packet reaches ``limit`` seconds: key, packet number and ``part``, the number of the cut.
+
+    Greedy, so a fold in time order.
+    """
+    return ordered_fold(packets, key, [time_us, order], [time_us, order], lambda: _Cut(int(limit * MICRO)), f"{order} long, part long")
 
 
 def pair(flows: DataFrame, key: str, way: str, measures: Sequence[str]) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql.window import Window
 
 def entropy(rows: DataFrame, key: Sequence[str], symbol: str) -> DataFrame:
     """Shannon entropy of exploded symbols over ln 256; -1 for two or fewer."""
-    counts = rows.groupBy(*key, symbol).agg(F.count("*").alias("c"))
-    share = counts.withColumn("n", F.sum("c").over(Window.partitionBy(*key)))
-    p = F.col("c") / F.col("n")
-    return share.groupBy(*key).agg(F.when(F.max("n") <= 2, -1.0).otherwise(F.round(-F.sum(p * F.ln(p)) / F.ln(F.lit(256.0)), 6)).alias("entropy"))
+    counts = rows.groupBy(*key, symbol).agg(F.count("*").alias("__c"))
+    share = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*key)))
+    p = F.col("__c") / F.col("__n")
+    return share.groupBy(*key).agg(F.when(F.max("__n") <= 2, -1.0).otherwise(F.round(-F.sum(p * F.ln(p)) / F.ln(F.lit(256.0)), 6)).alias("entropy"))
 
 
 def character_ratios(text: Column) -> dict[str, Column]:

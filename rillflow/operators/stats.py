@@ -71,7 +71,7 @@ def length_stats(packets: DataFrame, key: Sequence[str], column: str) -> DataFra
     std = F.sqrt("m2")
     return out.select(
         *key, "min", "max", F.round("mean", 4).alias("mean"), *(F.round(value(k), 4).alias(k) for k in quartile), "mode", F.round(std, 4).alias("std"),
-        F.round(F.least(std, 0.7413 * (value("q3") - value("q1"))), 4).alias("robust_std"),
+        F.round(F.least(std, 0.7413 * (value("q3") - value("q1"))), 6).alias("robust_std"),
         F.round(F.when(F.col("m2") > 0, F.col("m3") / F.pow(std, F.lit(3.0))).otherwise(0.0), 4).alias("skew"),
         F.round(F.when(F.col("m2") > 0, F.col("m4") / F.pow(F.col("m2"), F.lit(2.0)) - 3).otherwise(0.0), 4).alias("excess"),
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillflow.operators.folds import Fold, ordered_fold
 from rillflow.types import STATE_TIMEOUT, TCP_FLAGS
 
 FIN, SYN, RST, ACK = TCP_FLAGS["F"], TCP_FLAGS["S"], TCP_FLAGS["R"], TCP_FLAGS["A"]
@@ -86,11 +86,11 @@ class Connection:
 
     def __init__(self) -> None:
         self.state, self.anomaly = "new", 0
-        self.syn: dict[str, int] = {}
+        self.syn: dict[str, int | None] = {}
         self.acked: set[str] = set()
         self.fins: set[str] = set()
 
-    def packet(self, way: str, flags: int, seq: int = 0, ack: int = 0) -> None:
+    def packet(self, way: str, flags: int, seq: int | None = None, ack: int | None = None) -> None:
         peer = "B" if way == "A" else "A"
         if flags & (FIN | SYN) == FIN | SYN or flags & 0x3F == 0:
             self.anomaly |= self.EVIL
@@ -113,12 +113,12 @@ class Connection:
         elif self.state == "closing" and flags & ACK and len(self.fins) == 2:
             self.state = "closed"
 
-    def _opening(self, way: str, peer: str, flags: int, seq: int, ack: int) -> None:
+    def _opening(self, way: str, peer: str, flags: int, seq: int | None, ack: int | None) -> None:
         if flags & SYN:
             self.syn[way] = seq
             if flags & ACK:
                 self.acked.add(way)
-                if peer in self.syn and ack != self.syn[peer] + 1:
+                if ack is not None and self.syn.get(peer) is not None and ack != self.syn[peer] + 1:
                     self.anomaly |= self.BAD_OPEN
         elif flags & FIN:
             self.anomaly |= self.BAD_CLOSE if flags & ACK else self.EVIL
@@ -134,27 +134,26 @@ class Connection:
         return STATE_TIMEOUT[self.state]
 
 
+class _Connections(Fold):
+    def __init__(self) -> None:
+        self.conn, self.last, self.n, self.number = Connection(), None, 0, 0
+
+    def add(self, way: str, flags: int, t: int) -> list[tuple]:
+        done = []
+        if self.last is not None and t - self.last >= self.conn.timeout * 1_000_000:
+            done = self.end()
+            self.conn, self.n, self.number = Connection(), 0, self.number + 1
+        self.conn.packet(way, int(flags))
+        self.n, self.last = self.n + 1, t
+        return done
+
+    def end(self) -> list[tuple]:
+        return [(self.number, self.n, self.conn.state, self.conn.anomaly)]
+
+
 def connection_states(packets: DataFrame, key: Sequence[str], way: str = "way", flags: str = "tcp_flags", time_us: str = "t_us", order: str = "pkt_no") -> DataFrame:
-    """Folds the packets of each connection in time order; a gap beyond the timeout of its state begins a new one.
+    """Folds the packets of each key in time order; a gap beyond the timeout of its state begins a new connection.
 
-    One row per connection: its ordinal, packets, last state and anomaly bits. The fold holds one key at a
-    time: key by connection and session, not by host.
+    One row per connection: its ordinal, packets, last state and anomaly bits.
     """
-    names = list(key)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packets.schema if f.name in names) + ", conn long, pkts long, state string, anomaly long"
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([time_us, order])
-        rows, conn, last, n = [], None, None, 0
-        for w, f, t in zip(group[way], group[flags], group[time_us], strict=True):
-            if conn is None or t - last >= conn.timeout * 1_000_000:
-                if conn is not None:
-                    rows.append((n, conn.state, conn.anomaly))
-                conn, n = Connection(), 0
-            conn.packet(w, int(f))
-            n, last = n + 1, t
-        rows.append((n, conn.state, conn.anomaly))
-        first = group.iloc[0]
-        return pd.DataFrame([(*(first[k] for k in names), i, n, s, a) for i, (n, s, a) in enumerate(rows)], columns=[*names, "conn", "pkts", "state", "anomaly"])
-
-    return packets.select(*names, way, flags, time_us, order).groupBy(*names).applyInPandas(fold, schema)
+    return ordered_fold(packets, key, [time_us, order], [way, flags, time_us], _Connections, "conn long, pkts long, state string, anomaly long")

@@ -1,10 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from __future__ import annotations
+from rillflow.plans import flow_queries, lookup_queries, report_queries, stream_queries
+from rillflow.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "flow_queries", "lookup_queries", "report_queries", "stream_queries"]
