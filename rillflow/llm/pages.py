@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages that the field is trained on at most, chosen by a hash of their ids, and rounds over them.
-TRAIN_PAGES, ROUNDS = 300, 4
+TRAIN_PAGES, ROUNDS = 300, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.DOTALL)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -116,8 +116,9 @@ def parse(page: str) -> list[Block]:
 
 @lru_cache(maxsize=20_000)
 def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    tags = [w for w in path if w[0] == "<"]
-    return (*dict.fromkeys(path), f"own{tags[-1] if tags else ''}", f"pair{''.join(tags[-2:])}")
+    at = [i for i, w in enumerate(path) if w[0] == "<"]
+    own = path[at[-1] :] if at else ()
+    return (*dict.fromkeys(path), *(f"own{w}" for w in own), f"pair{''.join(path[i] for i in at[-2:])}")
 
 
 def features(b: Block) -> tuple[str, ...]:
@@ -195,29 +196,38 @@ SHAPES = (("<ul>", "<li>"), ("<h2>",), ("<blockquote>",), ("<blockquote>", "<p>"
 ARTICLES = (("article", ""), ("div", "content"), ("main", ""), ("div", "post entry body"), ("section", "article story text"), ("div", "main"))
 
 
-def variants(blocks: list[Block], number: int) -> Iterator[tuple[list[Block], list[int]]]:
-    """A labelled page, and the same page with its furniture and article renamed by turns, some furniture in the article."""
+def variants(blocks: list[Block], number: int, most: int = 4) -> Iterator[tuple[list[Block], list[int]]]:
+    """A labelled page, and some of its text under other names by turns, with furniture around and within the article."""
     labels = [label(b) for b in blocks]
     yield blocks, labels
-    name = lambda pair: (f"<{pair[0]}>", *(f".{w}" for w in pair[1].split()))
-    others, main = [b for b, y in zip(blocks, labels, strict=True) if not y], [b for b, y in zip(blocks, labels, strict=True) if y]
+    others, main = [b for b, y in zip(blocks, labels, strict=True) if not y], [b for b, y in zip(blocks, labels, strict=True) if y][:12]
     if not (others and main):
         return
-    article = name(ARTICLES[number % len(ARTICLES)])
-    root = ("<html>", "<body>")
-    own = lambda i, b: SHAPES[(number + i) % len(SHAPES)] if i % 3 == 2 else tuple(w for w in b.path[-1:] if w[1:-1] in BLOCKS - {"article", "main", "div", "body"})
-    body = [Block((*root, *article, *own(i, b)), b.text, b.linked) for i, b in enumerate(main)]
-    page, ys = [], []
-    for i, piece in enumerate(([], body[: len(body) // 2], body[len(body) // 2 :])):
-        page += piece
-        ys += [MAIN] * len(piece)
-        for j in range(2):
-            kind = name(FURNITURE[(number * 5 + 2 * i + j) % len(FURNITURE)])
-            # What stands in furniture may be short links or whole sentences.
-            text, linked = (others[(number + i + j) % len(others)].text, 1.0) if j else (main[(number + i) % len(main)].text, 0.0)
-            page.append(Block((*root, *(article if i == 1 else ()), *kind, *(("<p>",) if not j else ())), text, linked))
-            ys.append(OTHER)
-    yield page, ys
+    for turn in range(most * number, most * (number + 1)):
+
+        def name(pair: tuple[str, str], k: int) -> tuple[str, ...]:
+            """The element with all its class words, or with one of them."""
+            words = pair[1].split()
+            return (f"<{pair[0]}>", *(f".{w}" for w in (words[k % len(words) :][:1] if words and k % 4 else words)))
+
+        root = ("<html>", "<body>")
+        article = name(ARTICLES[turn % len(ARTICLES)], turn // len(ARTICLES))
+        page, ys = [], []
+        for i in range(3):
+            for j in range(2):
+                n = turn * 7 + 2 * i + j
+                kind = name(FURNITURE[n % len(FURNITURE)], n // len(FURNITURE))
+                # What stands in furniture may be short links or whole sentences, its own or a paragraph's.
+                source = (main, others)[n // 3 % 2]
+                b = source[n % len(source)]
+                page.append(Block((*root, *(article if i == 1 else ()), *kind, *((), ("<p>",), ("<ul>", "<li>"))[n % 3]), b.text, (0.0, 1.0, 0.0)[n // 2 % 3]))
+                ys.append(OTHER)
+                if i == 1:
+                    for m, b in list(enumerate(main))[j::2]:
+                        own = SHAPES[(turn + m) % len(SHAPES)] if m % 3 == 2 else tuple(w for w in b.path[-1:] if w[1:-1] in BLOCKS - {"article", "main", "div", "body"})
+                        page.append(Block((*root, *article, *own), b.text, b.linked))
+                        ys.append(MAIN)
+        yield page, ys
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Field:
