@@ -191,7 +191,7 @@ def label(b: Block) -> int:
 
 
 #: Names under which furniture and articles occur on the web (tag, class words), and elements of an article.
-FURNITURE = (("div", "sidebar"), ("aside", ""), ("div", "cookie notice"), ("div", "ad banner"), ("div", "advert sponsored promo"), ("section", "comments"), ("div", "comment reply"), ("ul", "menu nav"), ("div", "footer copyright"), ("header", "site header"), ("form", "newsletter subscribe"), ("div", "related share social"), ("div", "popup modal consent"), ("div", "breadcrumb"))
+FURNITURE = (("div", "sidebar"), ("aside", ""), ("div", "cookie notice"), ("div", "ad banner"), ("div", "advert sponsored promo"), ("section", "comments"), ("div", "comment reply"), ("ul", "menu nav"), ("div", "footer copyright"), ("header", "site header"), ("form", "newsletter subscribe"), ("div", "related share social"), ("div", "popup modal consent"), ("div", "breadcrumb"), ("button", ""), ("nav", ""), ("footer", ""))
 SHAPES = (("<ul>", "<li>"), ("<h2>",), ("<blockquote>",), ("<blockquote>", "<p>"), ("<table>", "<tr>", "<td>"), ("<ol>", "<li>"), ("<pre>",), ("<figure>", "<figcaption>"), ("<h3>",), ())
 ARTICLES = (("article", ""), ("div", "content"), ("main", ""), ("div", "post entry body"), ("section", "article story text"), ("div", "main"))
 
@@ -224,7 +224,7 @@ def variants(blocks: list[Block], number: int, most: int = 4) -> Iterator[tuple[
                 ys.append(OTHER)
                 if i == 1:
                     for m, b in list(enumerate(main))[j::2]:
-                        own = SHAPES[(turn + m) % len(SHAPES)] if m % 3 == 2 else tuple(w for w in b.path[-1:] if w[1:-1] in BLOCKS - {"article", "main", "div", "body"})
+                        own = SHAPES[(turn + m) % len(SHAPES)] if m % 3 == 2 else SHAPES[0] if m % 3 and turn % 3 == 1 else tuple(w for w in b.path[-1:] if w[1:-1] in BLOCKS - {"article", "main", "div", "body"})
                         page.append(Block((*root, *article, *own), b.text, b.linked))
                         ys.append(MAIN)
         yield page, ys
