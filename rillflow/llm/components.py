@@ -12,17 +12,26 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """Each node's smallest neighbour, ``(k, m)``.
+
+    The key is written as a new expression, so that a join on it deals both sides anew and Spark may split
+    the edges of a hot node, which it can't where a grouping has dealt them.
+    """
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    joined = both.where("b > a").join(_least(both), F.col("a") == F.col("k"))
+    return joined.select(F.col("b").alias("a"), F.least("k", "m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    least = _least(down)
+    moved = down.join(least, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
