@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.operators import arrays, connections, flows, stats, tcp
+from rillflow.operators import arrays, connections, flows, protocols, stats, tcp
 from rillflow.plans.registry import P, S, query
 from rillflow.sources.tables import packets
 
@@ -257,3 +257,36 @@ def scan_detector(spark, d):
 @query()
 def tcp_state_machine(spark, d):
     return tcp.connection_states(sessions(spark, d).where("l4_proto = 6"), ["user_id", "session"])
+
+
+@query(f"""WITH {P}, a AS (SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS requests, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS replies FROM p GROUP BY user_id)
+    SELECT *, CASE WHEN requests > 0 THEN round(replies / requests, 6) ELSE -CAST(replies AS DOUBLE) END AS ratio FROM a""")
+def icmp_echo_ratio(spark, d):
+    return protocols.echo_ratio(packets(spark, d), KEY, F.col("event_type") == "click", F.col("event_type") == "view")
+
+
+@query(f"WITH {P} SELECT user_id, coalesce(bit_or(CASE WHEN len % 70 < 64 THEN CAST(1 AS BIGINT) << (len % 70) END), 0) AS types, count(*) FILTER (len % 70 < 64) AS pkts FROM p WHERE len % 70 <> 63 GROUP BY user_id")
+def modbus_function_bits(spark, d):
+    return protocols.type_bits(packets(spark, d).where("len % 70 <> 63"), KEY, F.col("len") % 70)
+
+
+@query(f"WITH {P} SELECT server_ip, len % 8 AS severity, CAST(floor(len / 8) AS BIGINT) % 24 AS facility, least(count(*), 65535) AS n FROM p GROUP BY ALL")
+def syslog_matrix(spark, d):
+    return protocols.matrix(packets(spark, d), ["server_ip"], F.col("len") % 8, F.floor(F.col("len") / 8) % 24)
+
+
+@query(f"""WITH {P}, c AS (SELECT user_id, server_ip, event_type, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, server_ip, event_type) AS r FROM c)
+    SELECT user_id, string_agg(server_ip || '_' || event_type || '_' || n, ';' ORDER BY r) AS pairs FROM r WHERE r <= 4 GROUP BY user_id""")
+def mac_pairs(spark, d):
+    return protocols.endpoint_pairs(packets(spark, d), KEY, "server_ip", "event_type", 4)
+
+
+@query(f"""WITH {P}, s AS (SELECT user_id, ((ip_id - lag(ip_id) OVER (PARTITION BY user_id ORDER BY t_us, pkt_no)) % 65536 + 65536) % 65536 AS step FROM p), a AS (SELECT user_id, CAST(sum(CASE WHEN step <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS missed, count(*) AS pkts FROM s GROUP BY user_id)
+    SELECT *, round(missed / pkts, 6) AS miss_ratio FROM a""")
+def voip_sequence_misses(spark, d):
+    return protocols.sequence_misses(packets(spark, d), KEY, "ip_id", ORDER)
+
+
+@query(f"WITH {P} SELECT server_ip, min(ip_ttl) AS min_ip_ttl, max(ip_ttl) AS max_ip_ttl, min(len) AS min_len, max(len) AS max_len FROM p GROUP BY server_ip")
+def vrrp_ranges(spark, d):
+    return protocols.ranges(packets(spark, d), ["server_ip"], ["ip_ttl", "len"])

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from rillflow.functions import query as q
 from rillflow.functions.dialects import column_filter, display_filter
-from rillflow.operators import reports
+from rillflow.operators import lookups, reports
 from rillflow.operators.reports import outward
 from rillflow.plans.registry import L, P, query
 from rillflow.sources.tables import flows, packets, table
@@ -206,3 +206,42 @@ def mon_diff_lag(spark, d):
 def widest_gap(spark, d):
     gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("server_ip").orderBy("t_us", "pkt_no"))
     return packets(spark, d).withColumn("gap", gap).groupBy("server_ip").agg(F.max("gap").alias("widest"))
+
+
+_top_items("top_dns_answers", "orders", "o_orderstatus", ";", "string_split(coalesce(o_orderstatus, ''), ';')")
+_top_items("top_http_rscode", "lineitem", "l_linestatus", ";", "string_split(coalesce(l_linestatus, ''), ';')")
+_top_items("top_https_cert_cn", "part", "p_brand", "#", "string_split(coalesce(p_brand, ''), '#')")
+_top_items("top_https_sni", "supplier", "s_name", "#", "string_split(coalesce(s_name, ''), '#')")
+
+
+def _top_addresses(name: str, bit: int) -> None:
+    def run(spark, d):
+        return reports.top(flows(spark, d), F.col("dst_ip"), "ip", "flows", 10, q.bits_any("flow_stat", bit))
+
+    query(f"WITH {L} SELECT dst_ip AS ip, count(*) AS flows FROM f WHERE (flow_stat & {bit}) <> 0 GROUP BY ALL ORDER BY flows DESC, ip LIMIT 10", name)(run)
+
+
+_top_addresses("top_dns_ipv4", 0x4000)
+_top_addresses("top_dns_ipv6", 0x8000)
+
+_KNOWN_PORTS = [("HTTP", 80), ("HTTP", 8080), ("TLS", 443), ("DNS", 53), ("SSH", 22), ("SMTP", 25)]
+
+
+def _top_nonstandard(measure: str) -> None:
+    def run(spark, d):
+        known = spark.createDataFrame(_KNOWN_PORTS, "appl string, dst_port long")
+        rows = flows(spark, d).withColumn("appl", F.split_part("appl", F.lit("."), F.lit(1)))
+        return reports.top(lookups.nonstandard_ports(rows, known, ["appl", "dst_port"]), F.concat_ws(":", "appl", "dst_port"), "appl_port", measure)
+
+    pairs = ", ".join(f"('{a}', {p})" for a, p in _KNOWN_PORTS)
+    query(f"""WITH {L}, g AS (SELECT *, split_part(appl, '.', 1) AS a FROM f) SELECT a || ':' || dst_port AS appl_port, {_SQL_MEASURE[measure]} AS {measure} FROM g
+        WHERE NOT EXISTS (SELECT 1 FROM (VALUES {pairs}) v(n, p) WHERE n = a AND p = dst_port) GROUP BY ALL ORDER BY {measure} DESC, appl_port LIMIT 10""", f"top_proto_over_nonstd_ports_{measure}")(run)
+
+
+for _measure in _SQL_MEASURE:
+    _top_nonstandard(_measure)
+
+
+@query(f"WITH {L}, u AS (SELECT src_port AS port, bytes_snt AS b FROM f WHERE (flow_stat & 1) = 0 UNION ALL SELECT dst_port, bytes_snt FROM f WHERE (flow_stat & 1) <> 0) SELECT port, count(*) AS flows, CAST(sum(b) AS BIGINT) AS bytes FROM u GROUP BY ALL")
+def union_all_ab(spark, d):
+    return flows(spark, d).groupBy(outward("src_port", "dst_port").alias("port")).agg(F.count("*").alias("flows"), F.sum("bytes_snt").alias("bytes"))
