@@ -1,10 +1,11 @@
 """Toxicity: a lexicon learnt from labels, Levenshtein automata run over its trie, and context windows around each hit.
 
 The lexicon holds the words whose share of toxic documents is beyond chance, and stems of inflected words, found
-greedily so that each stem explains documents that earlier ones don't. A lazily determinised product of the Levenshtein
-automata with the trie finds its words and their misspellings; a misspelling that is an ordinary word of clean
-documents doesn't count, and an entry that clean documents hold too counts as doubtful, as it stands only. A window around each hit tells quotation and report from abuse, and a logistic model
-over the counts by kind of window gives the score.
+greedily so that each stem explains documents that earlier ones don't; neither quotation nor report counts for or
+against a term. A lazily determinised product of the Levenshtein automata with the trie finds its words and their
+misspellings; a misspelling that is an ordinary word of clean documents doesn't count. Entries that clean documents
+hold too are counted apart, as doubtful or, if most of their documents are clean, as weak. A window around each hit
+tells quotation and report from abuse, and a logistic model over the counts by kind of window gives the score.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from rillflow.llm.common import id_and_text, keep
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their ids.
 TRAIN_ROWS = 20_000
-#: Lengths of stems; toxic documents and share of them among its documents that an entry needs, as a word and as a stem.
-STEMS, LEAST_DOCS, LEAST_SHARE = range(4, 9), 4, {False: 0.95, True: 0.97}
+#: Lengths of stems; toxic documents that an entry needs.
+STEMS, LEAST_DOCS = range(4, 9), 4
 #: How much more of the likelihood-ratio statistic than a word a stem needs.
 STEM_MARGIN = 20.0
 #: Words that a Python worker remembers, and code points of context on either side of a hit.
@@ -35,7 +36,8 @@ WORD = re.compile(r"\w+")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
 REPORTING = frozenset("said says called calls quoted quote wrote writes word term slur insult phrase sagte nannte schrieb wort zitat dit appelé écrit mot terme citation dijo llamó escribió palabra término cita".split())
 DIRECTED = frozenset("you your youre u du dein deine ihr sie tu toi vous votre tú usted eres vos".split())
-FEATURES = ("bare", "bare_directed", "quoted", "misspelt", "misspelt_quoted", "doubtful", "doubtful_quoted")
+KINDS = ("bare", "misspelt", "doubtful", "doubtful_misspelt", "weak", "weak_misspelt")
+FEATURES = ("bare", "bare_directed", "quoted", *(k + told for k in KINDS[1:] for told in ("", "_quoted")))
 
 
 def edits(entry: str, stem: bool) -> int:
@@ -46,11 +48,11 @@ def edits(entry: str, stem: bool) -> int:
 class Automaton:
     """All words within the allowed edits of some entry, as a deterministic automaton built where it is used."""
 
-    def __init__(self, lexicon: list[tuple[str, bool]], exact: bool = False):
+    def __init__(self, lexicon: list[tuple[str, bool]]):
         self.children: list[dict[str, int]] = [{}]
         self.most, self.ends, self.stems = [-1], [-1], [-1]
         for entry, stem in lexicon:
-            k, n = 0 if exact else edits(entry, stem), 0
+            k, n = edits(entry, stem), 0
             self.most[0] = max(self.most[0], k)
             for c in entry:
                 if c not in self.children[n]:
@@ -120,6 +122,7 @@ class Automaton:
 class Model:
     lexicon: list[tuple[str, bool]] = field(default_factory=list)
     doubtful: list[tuple[str, bool]] = field(default_factory=list)
+    weak: list[tuple[str, bool]] = field(default_factory=list)
     ordinary: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (0.0,) * len(FEATURES)
     bias: float = -10.0
@@ -136,19 +139,39 @@ def quoted(text: str, start: int, end: int) -> bool:
     return False
 
 
+def around(text: str, start: int, end: int) -> set[str]:
+    """The last six words before the span and the first three after it, within the window."""
+    return set(WORD.findall(text[max(0, start - WINDOW) : start])[-6:] + WORD.findall(text[end : end + WINDOW])[:3])
+
+
+def bare_words(text: str) -> set[str]:
+    """The words of a text in small letters that occur in it somewhere neither quoted nor reported."""
+    words = set(WORD.findall(text))
+    reported = bool(words & REPORTING)
+    if not reported and not any(mark in text for mark in QUOTES):
+        return words
+    bare: set[str] = set()
+    for m in WORD.finditer(text):
+        if m[0] not in bare and not (reported and around(text, m.start(), m.end()) & REPORTING) and not quoted(text, m.start(), m.end()):
+            bare.add(m[0])
+    return bare
+
+
 class Scorer:
     """Counts a text's hits by kind of window."""
 
     def __init__(self, model: Model):
-        self.model, self.automaton, self.doubtful = model, Automaton(model.lexicon), Automaton(model.doubtful, exact=True)
+        self.model, self.automata = model, [Automaton(entries) for entries in (model.lexicon, model.doubtful, model.weak)]
         self.memory: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
-        """0 for no hit, 1 for an entry itself, 2 for a misspelling of one, 3 for a doubtful entry."""
+        """0 for no hit, 1 for an entry itself, 2 for a misspelling of one, 3 and 4 for doubtful entries, 5 and 6 for weak ones."""
         k = self.memory.get(word)
         if k is None:
-            e = self.automaton.edits(word)
-            k = 1 if e == 0 else 3 if self.doubtful.edits(word) == 0 else 0 if e is None or word in self.model.ordinary else 2
+            found = [a.edits(word) for a in self.automata]
+            k = next((2 * i + 1 for i, e in enumerate(found) if e == 0), 0)
+            if not k and word not in self.model.ordinary:
+                k = next((2 * i + 2 for i, e in enumerate(found) if e is not None), 0)
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
             if len(word) <= 40:
@@ -163,14 +186,14 @@ class Scorer:
         counts = dict.fromkeys(FEATURES, 0)
         for m in WORD.finditer(text) if hits else ():
             if k := hits.get(m[0]):
-                near = set(WORD.findall(text[max(0, m.start() - WINDOW) : m.start()])[-6:] + WORD.findall(text[m.end() : m.end() + WINDOW])[:3])
-                told = quoted(text, m.start(), m.end()) or bool(near & REPORTING)
-                counts[("misspelt", "doubtful")[k - 2] + "_quoted" * told if k > 1 else "quoted" if told else "bare_directed" if near & DIRECTED else "bare"] += 1
+                near = around(text, m.start(), m.end())
+                told = bool(near & REPORTING) or quoted(text, m.start(), m.end())
+                counts[KINDS[k - 1] + "_quoted" * told if k > 1 else "quoted" if told else "bare_directed" if near & DIRECTED else "bare"] += 1
         return list(counts.values())
 
 
 def _terms(text: str) -> set[tuple[str, bool]]:
-    words = set(WORD.findall(text.lower()))
+    words = bare_words(text.lower())
     return {(w, False) for w in words if len(w) >= 4} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
 
 
@@ -197,8 +220,8 @@ def _term_counts(sample: DataFrame, wanted: set | None) -> dict[tuple[str, bool]
     return {(r["term"], r["stem"]): r["n"] for r in counts.where(F.col("n") >= (LEAST_DOCS if wanted is None else 1)).toLocalIterator()}
 
 
-def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]]]:
-    """Clear and doubtful entries from ``sample(doc_id, text, toxic)``, whose size the caller has bounded.
+def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], ...]:
+    """Clear, doubtful and weak entries from ``sample(doc_id, text, toxic)``, whose size the caller has bounded.
 
     The statistic that an entry must reach grows with the number of terms tried, so that less than one is expected by chance.
     """
@@ -211,7 +234,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[tuple
     def rating(term: tuple[str, bool], n: int) -> float:
         """What is left of the statistic beyond the need; negative if the term won't do."""
         c = in_clean.get(term, 0)
-        if n < LEAST_DOCS or n < LEAST_SHARE[term[1]] * (n + c):
+        if n < LEAST_DOCS:
             return -1.0
         return _ratio(n, c, all_toxic, all_clean) - need - STEM_MARGIN * term[1]
 
@@ -237,8 +260,13 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[tuple
     whole = sorted(t for t in where if not t[1])
     # A stem that only one word begins with is that word.
     stems = [t for t in stems if sum(w[0].startswith(t[0]) for w in whole) != 1]
-    entries = [t for t in whole if not any(t[0].startswith(stem) for stem, _ in stems)] + stems
-    return [t for t in entries if t not in in_clean], [t for t in entries if t in in_clean]
+    kinds: tuple[list[tuple[str, bool]], ...] = ([], [], [])
+    kind = lambda t: 0 if t not in in_clean else 1 if tried[t] >= in_clean[t] else 2
+    for t in whole + stems:
+        # A word needs no entry of its own beside a stem that is as clear.
+        if t[1] or not any(t[0].startswith(stem[0]) and kind(stem) <= kind(t) for stem in stems):
+            kinds[kind(t)].append(t)
+    return kinds
 
 
 def _sketch(sample: DataFrame) -> DataFrame:
@@ -274,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     sample = id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).dropDuplicates(["doc_id"])
     sample = keep(_sketch(sample.select("doc_id", "text", "toxic")).dropDuplicates(["toxic", "sketch"]), "labelled")
     model = Model(*learn_lexicon(sample))
-    if not model.lexicon + model.doubtful:
+    if not model.lexicon + model.doubtful + model.weak:
         return model
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
     model.ordinary = frozenset(_misspellings(sample.where((half == 0) & (F.col("toxic") == 0)).select("text"), model))
@@ -293,7 +321,7 @@ def _misspellings(texts: DataFrame, model: Model) -> list[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            found = {w for t in b.column("text").to_pylist() for w in set(WORD.findall(t.lower())) if scorer.kind(w) == 2}
+            found = {w for t in b.column("text").to_pylist() for w in bare_words(t.lower()) if scorer.kind(w) in (2, 4, 6)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
     return [r["word"] for r in texts.mapInArrow(run, "word string").distinct().toLocalIterator()]

@@ -92,6 +92,32 @@ def test_toxicity_without_labels(toxic, empty, clashing):
     assert toxicity.drop_toxic(clashing, model).columns == clashing.columns
 
 
+def test_toxicity_of_slurs_that_clean_documents_quote(spark):
+    """Quoted in as many clean documents as it is hurled in toxic ones; another one is bare in a clean document too."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for i in range(900):
+        ws = [word() for _ in range(30)]
+        if i % 3 == 0:
+            ws[10] = ("grobianus", "scoundrel")[i % 2]
+        elif i % 3 == 1:
+            ws[10] = ('"grobianus"', "grobianus")[i % 2]
+            ws[9] = ("said", "the word")[i % 2]
+        elif i % 90 == 2:
+            ws[10] = "scoundrel"
+        rows.append((i, " ".join(ws), int(i % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(2000, "oh grobianuss of hills"), (2001, "oh scoundrrel of hills"), (2002, 'he said "grobianus" in the hills')], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    kinds = toxicity.Scorer(model)
+    assert [kinds.kind(w) for w in ("grobianus", "grobianuss", "scoundrel", "scoundrrel")] == [1, 2, 3, 4]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    bare_in_clean = {i for i, t, y in rows if not y and " scoundrel " in t}
+    assert all(got[i] == y for i, _, y in rows if i not in bare_in_clean)
+    assert got[2002] == 0
+
+
 CONVERSATIONS = [(1, 0, "system", "Be kind."), (1, 1, "ann", "hi é"), (1, 2, "bob", "hello"), (1, 2, "bob", "hello"), (1, 300, "cid", None), (2, 0, "system", "alone"), (3, None, None, "who?"), (3, 0, "ann", ""), (None, 1, "ann", "x"), (None, 1, "ann", "y")]
 
 
