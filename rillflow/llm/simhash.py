@@ -43,14 +43,17 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) for every row; whole texts, null counting as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, row: str | None = None) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a signed long) for every row, and its ``row`` number if there is one; whole texts, null counting as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            others = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(fp)], names=[*others, "fp"])
 
+    if row:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), row).mapInArrow(run, f"doc_id long, {row} long, fp long")
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -114,6 +117,15 @@ def _compare(most: int):
     return run
 
 
+def _found(rows: DataFrame, differing: int, *least: Column) -> DataFrame:
+    """``fp, root`` for every distinct fingerprint of ``rows``, and the aggregates ``least`` over its rows."""
+    nodes = keep(rows.groupBy("fp").agg(*least), "nodes")
+    keys = nodes.select(F.explode(variants(F.col("fp"), differing)).alias("key"), "fp")
+    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(differing), "a long, b long")
+    roots = keep(components(edges), "roots")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(docs: DataFrame, differing: int = 4, shingle: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -124,21 +136,19 @@ def near_groups(docs: DataFrame, differing: int = 4, shingle: int = 4) -> DataFr
     give repeated rows, an empty table none; other columns are not read.
     """
     rows = keep(fingerprints(docs, shingle), "fingerprints")
-    nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    keys = nodes.select(F.explode(variants(F.col("fp"), differing)).alias("key"), "fp")
-    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(differing), "a long, b long")
-    roots = keep(components(edges), "roots")
-    found = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = _found(rows, differing, F.min("doc_id").alias("least"))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = keep(found.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "classes")
     return rows.join(ids, rows["fp"] == ids["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, differing: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, with all their columns.
+    """One row of each group of ``docs``, the one with the smallest id, with all its columns.
 
-    Rows with a null id stay if their group has no other id; rows that repeat the staying id stay together.
+    A row with a null id stays if its group has no other id. Of rows that share the id, or have none, the first of the table stays.
     """
-    groups = near_groups(docs, differing, shingle)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__rf_id"))
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__rf_id")), "left_semi")
+    numbered = keep(docs.withColumn("__rf_row", F.monotonically_increasing_id()), "numbered")
+    rows = keep(fingerprints(numbered, shingle, row="__rf_row"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__rf_row").alias("row"))).alias("first")
+    kept = _found(rows, differing, first).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__rf_kept"))
+    return numbered.join(kept.hint("shuffle_hash"), F.col("__rf_row") == F.col("__rf_kept"), "left_semi").drop("__rf_row")

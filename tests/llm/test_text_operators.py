@@ -238,6 +238,18 @@ def test_keep_one_of_each(docs, clashing):
     assert {r.doc_id for r in simhash.keep_one_of_each(clashing).collect()} == {1, 3}
 
 
+def test_keep_one_of_each_by_row(spark):
+    """Null ids and repeated ids whose texts differ: one row of each group, no more and no less."""
+    rng = np.random.default_rng(8)
+    long = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)) for _ in range(4)]
+    rows = [(None, long[0]), (None, long[0].upper()), (None, long[1].upper()), (5, long[1]), (7, long[2]), (7, long[2].upper()), (7, long[1].upper()), (9, long[3]), (None, long[3].upper())]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(3)
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text.lower()) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(None, long[0]), (5, long[1]), (7, long[2]), (9, long[3])], key=str)
+
+
 def test_packing(docs, plain):
     lib = library("byte_bpe_50k.json")
     got = packing.pack(docs).collect()
