@@ -65,6 +65,19 @@ def blocks(start: int, end: int, size: int) -> Iterator[tuple[int, int, int, int
             yield a, min(a + size, end), c, min(c + size, end)
 
 
+def spanning(start: int, end: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the linked pairs of one long run connect; each block's pairs are folded into a forest before the next block."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b, c, d in blocks(start, end, size):
+        i, j = np.nonzero(near(np.arange(a, b), np.arange(c, d)))
+        nodes = np.arange(a, b) if a == c else np.concatenate([np.arange(a, b), np.arange(c, d)])
+        root = forest(i, j if a == c else j + b - a, len(nodes))
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        left.append(nodes[moved])
+        right.append(nodes[root[moved]])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def linked(start: int, end: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """All linked pairs i < j of one long run, compared block by block; ``near`` gives a boolean matrix."""
     found = []

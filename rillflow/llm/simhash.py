@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import id_and_text, keep
 from rillflow.llm.components import components
-from rillflow.llm.links import bounds, forest, linked, pairs_of_short_runs, runs
+from rillflow.llm.links import bounds, forest, pairs_of_short_runs, runs, spanning
 
 BITS = 64
 #: Runs up to this length are compared by distance, longer ones by blocks, the longest ones by pieces first.
 SHORT, LONG = 24, 4096
+#: Fingerprints of a key from which it is split into blocks, about so large, with a key of its own for each pair of blocks.
+BLOCK = 4096
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -78,7 +80,7 @@ def _near(fp: np.ndarray, most: int):
 
 
 def _long_run(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a very long run: some of ``most + 1`` pieces is equal, so each piece sorts them into small groups."""
+    """Pairs that span a very long run: some of ``most + 1`` pieces is equal, so each piece sorts them into small groups."""
     found = []
     free = np.flatnonzero([np.ptp((fp >> np.uint64(b)) & np.uint64(1)) for b in range(BITS)])  # the shared bits sort nothing
     for piece in np.array_split(free, most + 1):
@@ -87,7 +89,7 @@ def _long_run(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         edges = bounds((fp & mask)[order])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if b - a > 1:
-                i, j = linked(a, b, _near(fp[order], most))
+                i, j = spanning(a, b, _near(fp[order], most))
                 found.append(np.stack([order[i], order[j]]))
     both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return both[0], both[1]
@@ -105,7 +107,7 @@ def _compare(most: int):
             edges = bounds(key)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b - a > SHORT:
-                    i, j = linked(0, b - a, _near(fp[a:b], most)) if b - a <= LONG else _long_run(fp[a:b], most)
+                    i, j = spanning(0, b - a, _near(fp[a:b], most)) if b - a <= LONG else _long_run(fp[a:b], most)
                     left.append(i + a)
                     right.append(j + a)
             if left:
@@ -117,11 +119,35 @@ def _compare(most: int):
     return run
 
 
+def _hot_keys(nodes: DataFrame, differing: int) -> DataFrame:
+    """``key, parts`` for every key that more than ``BLOCK`` fingerprints may share.
+
+    A key's fingerprints hold one of two segments, so one of these is held by more than half a block.
+    """
+    hot = None
+    for k, (at, bits) in enumerate(segments(differing)):
+        segment = F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)
+        held = nodes.groupBy(segment.alias("s")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 2)
+        found = held.select(F.explode(F.array(*(F.col("s").bitwiseAND(~(1 << b)) + F.lit((k * 64 + b) << 45) for b in range(bits)))).alias("key"), "n")
+        hot = found if hot is None else hot.unionByName(found)
+    return hot.groupBy("key").agg(F.ceil((F.sum("n") + BLOCK // 2) / BLOCK).cast("long").alias("parts"))
+
+
+def _keyed(nodes: DataFrame, differing: int) -> DataFrame:
+    """``key, fp``: a hot key's fingerprints are dealt to blocks, and each goes to a key for every pair of its block with another."""
+    keys = nodes.select(F.explode(variants(F.col("fp"), differing)).alias("key"), "fp")
+    hot = keep(_hot_keys(nodes, differing), "hot")
+    if hot.isEmpty():
+        return keys
+    keys = keys.join(hot.withColumnRenamed("key", "__hot"), F.col("key") == F.col("__hot"), "left").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.xxhash64("key", F.least("block", x), F.greatest("block", x)))
+    return keys.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp")
+
+
 def _found(rows: DataFrame, differing: int, *least: Column) -> DataFrame:
     """``fp, root`` for every distinct fingerprint of ``rows``, and the aggregates ``least`` over its rows."""
     nodes = keep(rows.groupBy("fp").agg(*least), "nodes")
-    keys = nodes.select(F.explode(variants(F.col("fp"), differing)).alias("key"), "fp")
-    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(differing), "a long, b long")
+    edges = _keyed(nodes.select("fp"), differing).repartition("key").sortWithinPartitions("key").mapInArrow(_compare(differing), "a long, b long")
     roots = keep(components(edges), "roots")
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
 

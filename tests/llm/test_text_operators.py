@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rillflow.llm import bpe, exact, packing, secrets, simhash, tokens
+from rillflow.llm import bpe, exact, links, packing, secrets, simhash, tokens
 from rillflow.llm.common import scratch, tokenizer_file
 
 
@@ -238,6 +238,29 @@ def test_keep_one_of_each(docs, clashing):
     assert {r.doc_id for r in simhash.keep_one_of_each(clashing).collect()} == {1, 3}
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    """No key keeps a large family to itself, and the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    prints = sorted({sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) & (2**63 - 1) for _ in range(400)} | {int(x) for x in rng.integers(0, 2**62, 50)})
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
+    keyed = simhash._keyed(nodes, 4)
+    assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] < 100 < len(prints) - 100
+    found = simhash._found(nodes, 4, F.count("*").alias("n")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.root, []).append(r.fp)
+    want = {}
+    for p, c in zip(prints, brute_components(prints, prints), strict=True):
+        want.setdefault(c, []).append(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_spanning_holds_no_squared_pairs():
+    i, j = links.spanning(0, 3000, lambda a, c: np.ones((len(a), len(c)), bool))
+    assert len(i) < 3000 * 8 and set(links.forest(i, j, 3000).tolist()) == {0}
+
+
 def test_keep_one_of_each_by_row(spark):
     """Null ids and repeated ids whose texts differ: one row of each group, no more and no less."""
     rng = np.random.default_rng(8)
