@@ -44,5 +44,7 @@ def monitoring_stream(spark, d):
 
 @query()
 def stateful_flows_stream(spark, d):
-    """Flows that ended before the last watermark."""
-    return sessions.run_available(spark, sessions.stateful_flows(_events(spark, d), "user_id", "ts", "len", 21_600), *_places(spark))
+    """All flows: those that a timer ended and those still open at the end of the input; no row is too late."""
+    out, state = _places(spark)
+    ended = sessions.run_available(spark, sessions.stateful_flows(_events(spark, d), "user_id", "ts", "len", 21_600, late="36500 days"), out, state)
+    return ended.unionByName(sessions.open_flows(spark, state))

@@ -25,31 +25,44 @@ def monitoring(stream: DataFrame, time: str, interval: str, size: str, late: str
 def stateful_flows(stream: DataFrame, key: str, time: str, size: str, timeout: float = FLOW_TIMEOUT, late: str = "0 seconds") -> DataFrame:
     """Flows with state of one's own: both directions of a key share a state, a timer ends it when both are idle.
 
-    The state is four numbers. ``late`` bounds how far packets may be out of order: within it they are
-    sorted again, as a batch holds them together; what comes later than the watermark is dropped.
+    The state is four numbers for each flow that may still grow, in any order of packets; the frames of a
+    key are folded into it one by one. ``late`` bounds how far packets may be out of order: what comes later
+    than the watermark is dropped. ``open_flows`` reads what is left in the state at the end of the input.
     """
     limit = int(timeout * 1_000_000)
 
     def fold(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, last, pkts, total = state.get if state.exists else (None, None, 0, 0.0)
-        done = []
-        if state.hasTimedOut:
-            done.append((k[0], first, last, pkts, total))
+        flows = list(zip(*state.get, strict=True)) if state.exists else []
+        for rows in frames if not state.hasTimedOut else ():
+            rows = rows.sort_values("t")
+            own = rows.groupby((rows["t"].diff() >= limit).cumsum()).agg(first=("t", "min"), last=("t", "max"), pkts=("t", "size"), total=("n", "sum"))
+            merged: list[tuple] = []
+            for first, last, pkts, total in sorted([*flows, *zip(*(own[c].tolist() for c in own), strict=True)]):
+                if merged and first - merged[-1][1] < limit:
+                    a, b, n, size_ = merged[-1]
+                    merged[-1] = (a, max(b, last), n + pkts, size_ + total)
+                else:
+                    merged.append((first, last, pkts, total))
+            flows = merged
+        now = state.getCurrentWatermarkMs()
+        done = [(k[0], *f) for f in flows if f[1] + limit <= now * 1000]
+        flows = [f for f in flows if f[1] + limit > now * 1000]
+        if flows:
+            state.update(tuple(map(list, zip(*flows, strict=True))))
+            state.setTimeoutTimestamp(max(-(-(flows[0][1] + limit) // 1000), now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(frames).sort_values("t")
-            for t, n in zip(rows["t"].tolist(), rows["n"].tolist(), strict=True):
-                if last is not None and t - last >= limit:
-                    done.append((k[0], first, last, pkts, total))
-                    first, pkts, total = None, 0, 0.0
-                first, last = (t if first is None else min(first, t)), t if last is None else max(last, t)
-                pkts, total = pkts + 1, total + n
-            state.update((first, last, pkts, total))
-            state.setTimeoutTimestamp(max((last + limit) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=["key", "t_first", "t_last", "pkts", "bytes"])
 
     rows = stream.withWatermark(time, late).select(F.col(key).cast("long").alias("key"), time, F.unix_micros(time).alias("t"), F.col(size).cast("double").alias("n"))
-    return rows.groupBy("key").applyInPandasWithState(fold, "key long, t_first long, t_last long, pkts long, bytes double", "first long, last long, pkts long, total double", "append", "EventTimeTimeout")
+    return rows.groupBy("key").applyInPandasWithState(fold, "key long, t_first long, t_last long, pkts long, bytes double", "first array<long>, last array<long>, pkts array<long>, total array<double>", "append", "EventTimeTimeout")
+
+
+def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The flows that ``stateful_flows`` still holds in its state when its input has ended."""
+    held = spark.read.format("statestore").load(checkpoint).select(F.col("key.*"), F.col("value.groupState").alias("s"))
+    flows = held.select("key", F.explode(F.arrays_zip("s.first", "s.last", "s.pkts", "s.total")).alias("f"))
+    return flows.select("key", F.col("f.first").alias("t_first"), F.col("f.last").alias("t_last"), F.col("f.pkts").alias("pkts"), F.col("f.total").alias("bytes"))
 
 
 def run_available(spark: SparkSession, out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

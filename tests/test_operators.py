@@ -169,3 +169,11 @@ def test_batch_and_stream_agree(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = sessions.run_available(spark, sessions.stateful_flows(stream, "k", "ts", "n"), str(tmp_path / "out"), str(tmp_path / "state")).collect()
     assert sorted((r.key, r.pkts, r.t_first) for r in got if r.key != 9) == [(k, 2, t) for k in (1, 2) for t in (1_000_000_000, 1_400_000_000)]
+
+
+def test_stateful_flows_are_whole(spark, small):
+    """Every flow of the table, open ones too, equals the batch query that SQL checks."""
+    from rillflow.plans import QUERIES
+
+    got = sorted((r.key, r.t_first, r.t_last, r.pkts) for r in QUERIES["stateful_flows_stream"](spark, small).collect())
+    assert got == sorted((r.user_id, r.t_first, r.t_last, r.pkts) for r in QUERIES["flow_sessions"](spark, small).collect())
