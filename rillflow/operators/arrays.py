@@ -27,6 +27,16 @@ def distinct_in_order(packets: DataFrame, key: Sequence[str], column: str, order
     return seen.groupBy(*key).agg(F.array_join(listed, ";").alias("listed"), F.max("n").alias("n_distinct"))
 
 
+def header_runs(packets: DataFrame, key: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
+    """The header chain of all packets of each key: runs of one header name are counted before they are listed."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    same = F.lag(column).over(w) == F.col(column)
+    marked = packets.withColumn("__same", same).withColumn("run", F.sum(F.when(F.col("__same"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy(*key, "run", column).agg(F.count("*").alias("n"))
+    text = F.concat(F.col(column), F.when(F.col("n") > 1, F.concat(F.lit("{"), F.col("n").cast("string"), F.lit("}"))).otherwise(F.lit("")))
+    return runs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", text.alias("t")))), lambda x: x["t"]), ":").alias("chain"))
+
+
 def header_chain(headers: Column) -> Column:
     """``eth:vlan{2}:ipv4``: runs of one header name are counted in braces."""
     step = lambda acc, h: F.when(

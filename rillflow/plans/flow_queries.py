@@ -188,8 +188,7 @@ def distinct_mac_list(spark, d):
     c AS (SELECT user_id, session, grp, event_type, count(*) AS n FROM h GROUP BY ALL)
     SELECT user_id, session, string_agg(event_type || CASE WHEN n > 1 THEN '{{' || n || '}}' ELSE '' END, ':' ORDER BY grp) AS chain FROM c GROUP BY ALL""")
 def header_desc_counts(spark, d):
-    first = arrays.first_packets(sessions(spark, d), ["user_id", "session"], ["event_type"], ORDER)
-    return first.select("user_id", "session", arrays.header_chain(F.transform("first", lambda x: x["event_type"])).alias("chain"))
+    return arrays.header_runs(sessions(spark, d), ["user_id", "session"], "event_type", ORDER)
 
 
 @query(f"""WITH {P}, i AS (SELECT *, coalesce((t_us - lag(t_us) OVER (PARTITION BY user_id ORDER BY t_us, pkt_no)) / 1000000.0e0, 0.0e0) AS iat FROM p),

@@ -177,3 +177,9 @@ def test_stateful_flows_are_whole(spark, small):
 
     got = sorted((r.key, r.t_first, r.t_last, r.pkts) for r in QUERIES["stateful_flows_stream"](spark, small).collect())
     assert got == sorted((r.user_id, r.t_first, r.t_last, r.pkts) for r in QUERIES["flow_sessions"](spark, small).collect())
+
+
+def test_header_runs_count_all_packets(spark):
+    rows = [(1, t, "a" if t < 30 else "b") for t in range(45)] + [(2, 1, "a")]
+    df = spark.createDataFrame(rows, "k long, t long, h string")
+    assert {r.k: r.chain for r in arrays.header_runs(df, ["k"], "h", ["t"]).collect()} == {1: "a{30}:b{15}", 2: "a"}
