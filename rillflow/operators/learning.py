@@ -31,12 +31,15 @@ def nearest_labels(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "v
             for b in range(len(pdf)):
                 qs, xs = pdf["qs"].iloc[b], pdf["xs"].iloc[b]
                 qi = np.array([q["i"] for q in qs])
+                xs = sorted(xs, key=lambda x: x["i"])
                 xi, y = np.array([x["i"] for x in xs]), np.array([x["y"] for x in xs])
                 qv, xv = np.array([q["v"] for q in qs], float), np.array([x["v"] for x in xs], float)
                 d = (qv**2).sum(1)[:, None] - 2 * qv @ xv.T + (xv**2).sum(1)[None, :]
                 d = np.round(np.where(qi[:, None] == xi[None, :], np.inf, d), 9)
-                top = np.argsort(d, axis=1, kind="stable")[:, :k] if len(xi) <= k else np.argpartition(d, k - 1, axis=1)[:, :k]
-                yield pd.DataFrame({"q": np.repeat(qi, top.shape[1]), "x": xi[top].ravel(), "y": y[top].ravel(), "d": np.take_along_axis(d, top, 1).ravel()})
+                last = np.partition(d, min(k, len(xi)) - 1, axis=1)[:, min(k, len(xi)) - 1][:, None]
+                tie = d == last  # of these the smallest ids go on
+                i, j = np.nonzero((d < last) | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - (d < last).sum(axis=1)[:, None])))
+                yield pd.DataFrame({"q": qi[i], "x": xi[j], "y": y[j], "d": d[i, j]})
 
     parts = rows.select(F.struct(F.col(row_id).alias("i"), F.col(vector).alias("v"), F.col(label).alias("y")).alias("x"), F.floor(F.monotonically_increasing_id() / block).alias("p"))
     parts = parts.groupBy("p").agg(F.collect_list("x").alias("xs"))  # bounded by the block

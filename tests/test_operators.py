@@ -183,3 +183,10 @@ def test_header_runs_count_all_packets(spark):
     rows = [(1, t, "a" if t < 30 else "b") for t in range(45)] + [(2, 1, "a")]
     df = spark.createDataFrame(rows, "k long, t long, h string")
     assert {r.k: r.chain for r in arrays.header_runs(df, ["k"], "h", ["t"]).collect()} == {1: "a{30}:b{15}", 2: "a"}
+
+
+def test_nearest_labels_of_equal_vectors_by_id(spark):
+    from rillflow.operators.learning import nearest_labels
+
+    rows = spark.createDataFrame([(i, [0.0, 1.0], 1 if i <= 3 else 2) for i in range(40, 0, -1)] + [(100, [0.0, 1.0], 9)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    assert nearest_labels(rows, rows.where("vec_id = 100"), 5).first().predicted == 1
