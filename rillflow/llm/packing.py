@@ -8,9 +8,7 @@ residual gaps of the squared count of open sequences with that gap becomes small
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,17 +25,6 @@ SHARD = 40_000
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
-@lru_cache(maxsize=2)
-def whole_text_encoder(name: str):
-    """Encodes a whole text at once with the file's vocabulary and special strings; faster than by fragments, the ids are the same."""
-    import tiktoken
-
-    enc = encoder(name)
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    ranks = {t: i for i, t in enumerate(enc.token_bytes) if i not in set(enc.special.values())}
-    return tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens=enc.special)
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces of ``n`` tokens; only the first may be shorter than ``capacity``."""
     first = n % capacity or min(n, capacity)
@@ -49,16 +36,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     """The pieces of every document with the CRC-32 of their ids, and a number that deals them evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = whole_text_encoder(tokenizer)
+        enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         ctx = TaskContext.get()
         deal = (ctx.partitionId() if ctx else 0) * 7919
         for b in batches:
             out = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = array("I", enc.encode(text, allowed_special="all"))
-                ids.append(end_id)
-                data = memoryview(ids).cast("B")
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
+                data = memoryview(enc.encode(text) + end)
+                for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                     out.append((doc_id, k, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), deal))
                     deal += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 1 else pa.int64()) for i in range(6)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])

@@ -294,6 +294,18 @@ def test_packing(docs, plain):
     assert len(sequences) <= 1.1 * sum(r.length for r in got) / 1024 + 2
 
 
+def test_long_white_space(spark):
+    """Runs of white space beyond a million characters, which a backtracking pattern can't cross."""
+    lib = library("byte_bpe_50k.json")
+    texts = [" " * 2_000_000, "\n" * 2_000_000, " \n" * 500_000, "a" + "\t" * 1_200_000 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {r.doc_id: r.n_tokens for r in bpe.encode_decode(docs).collect()} == {i: len(w) for i, w in enumerate(want)}
+    got = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack(docs).collect())
+    ended = [np.array([*w, 2], "<u4") for w in want]
+    assert got == Counter((i, k, a, n, zlib.crc32(w[a : a + n].tobytes())) for i, w in enumerate(ended) for k, (a, n) in enumerate(packing.cut(len(w), 1024)))
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 21, 300)
