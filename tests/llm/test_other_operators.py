@@ -214,15 +214,17 @@ def test_vector_links(spark, monkeypatch):
     assert caps.near_vectors(df.where("false")).count() == 0
 
 
-def test_recall_of_the_codes():
+@pytest.mark.parametrize(("dim", "n"), [(64, 10_000), (64, 250_000), (64, 10**9), (16, 5000), (128, 50_000), (384, 50_000)])
+def test_recall_of_the_codes(dim, n):
+    """Pairs at a cosine of exactly 0.9, the hardest that link, share a direction."""
     rng = np.random.default_rng(6)
-    x, y = rng.standard_normal((400, 64)), rng.standard_normal((400, 64))
+    x, y = rng.standard_normal((1500, dim)), rng.standard_normal((1500, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (y * x).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    codes = caps.code(64, 0.9)
-    shared = [bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(codes.decode_all(x), codes.decode_all(0.9 * x + np.sqrt(0.19) * y), strict=True)]
-    assert np.mean(shared) >= 0.93
+    codes = caps.code(dim, 0.9, n)
+    a, b = (set(zip(*(c.tolist() for c in codes.decode_all(v)), strict=True)) for v in (x, 0.9 * x + np.sqrt(0.19) * y))
+    assert len({row for row, _ in a & b}) / len(x) >= 0.95
 
 
 def test_components_of_chains_and_stars(spark):
