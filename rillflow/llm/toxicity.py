@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ TRAIN_ROWS = 20_000
 STEMS, LEAST_DOCS = range(4, 9), 4
 #: How much more of the likelihood-ratio statistic than a word a stem needs.
 STEM_MARGIN = 20.0
-#: Words that a Python worker remembers, and code points of context on either side of a hit.
-MEMORY, WINDOW = 400_000, 60
+#: Words that a Python worker remembers, moves that an automaton remembers, and code points of context on either side of a hit.
+MEMORY, MOVES, WINDOW = 400_000, 200_000, 60
 
 WORD = re.compile(r"\w+")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
@@ -64,12 +65,17 @@ class Automaton:
                 self.most[n] = max(self.most[n], k)
             part = self.stems if stem else self.ends
             part[n] = max(part[n], k)
+        self.any = bool(lexicon)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Starts the automaton anew with its first state alone."""
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.word_edits: list[int | None] = []
         self.stem_edits: list[int | None] = []
         self.moves: dict[tuple[int, str], int] = {}
-        self.start = self._state({(0, 0)}) if lexicon else -1
+        self.start = self._state({(0, 0)}) if self.any else -1
 
     def _state(self, positions: set[tuple[int, int]]) -> int:
         todo = list(positions)
@@ -105,6 +111,8 @@ class Automaton:
 
     def edits(self, word: str) -> int | None:
         """Least edits to an entry, or to a stem at the word's beginning; None if there is none."""
+        if len(self.moves) > MOVES:
+            self._forget()
         state, best = self.start, None
         for c in word:
             if state < 0:
@@ -126,6 +134,7 @@ class Model:
     ordinary: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (0.0,) * len(FEATURES)
     bias: float = -10.0
+    used: tuple[int, int] = (0, 0)
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -270,14 +279,18 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], ...]:
 
 
 def _sketch(sample: DataFrame) -> DataFrame:
-    """``sample`` with the least hash of each text's words, which near copies share for the most part."""
+    """``sample`` with the least values of three hashes over each text's runs of three words: near copies have them all in common for the most part, other texts never."""
+
+    def least(text: str) -> str:
+        words = WORD.findall(text.lower())
+        runs = {" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 2))}
+        return "-".join(str(min(zlib.crc32(r, seed) * 2654435761 % 2**32 for r in runs)) for seed in (1, 2, 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(WORD.findall(t.lower()))), default=0) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=[*b.schema.names, "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([least(t) for t in b.column("text").to_pylist()], pa.string())], names=[*b.schema.names, "sketch"])
 
-    return sample.mapInArrow(run, "doc_id long, text string, toxic int, sketch long")
+    return sample.mapInArrow(run, "doc_id long, text string, toxic int, sketch string")
 
 
 def _feature_rows(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
@@ -291,27 +304,39 @@ def _feature_rows(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, {extra}hits array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from the labelled rows outside the held-out fold, at most ``train_rows`` of them.
+def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, text, toxic`` of at most ``train_rows`` labelled documents outside the held-out fold, chosen by a hash of their ids.
 
-    Where a document has several labels the largest counts; of near copies one or two are learnt from. Without toxic labels the lexicon is empty and
-    every score is near zero.
+    Of several labels of a document the largest counts, of several texts under one id the one with the least
+    digest; of near copies with one label the smallest id stays. The rows depend on the tables alone, not on
+    the order in which they are read.
     """
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = ids.where(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    sample = id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).dropDuplicates(["doc_id"])
-    sample = keep(_sketch(sample.select("doc_id", "text", "toxic")).dropDuplicates(["toxic", "sketch"]), "labelled")
-    model = Model(*learn_lexicon(sample))
+    sample = id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"), F.first("toxic").alias("toxic"))
+    sample = _sketch(sample).groupBy("toxic", "sketch").agg(F.min_by(F.struct("doc_id", "text"), F.col("doc_id")).alias("r"))
+    return sample.select("r.doc_id", "r.text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """A model from ``labelled_sample``: two thirds give the lexicon, the other third the weights.
+
+    ``used`` of the model tells the labelled rows of each part. Without toxic labels the lexicon is empty and
+    every score is near zero.
+    """
+    sample = keep(labelled_sample(docs, labels, train_rows), "labelled")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))
+    first, second = sample.where(part < 2), sample.where(part == 2)
+    model = Model(*learn_lexicon(first))
     if not model.lexicon + model.doubtful + model.weak:
         return model
-    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
-    model.ordinary = frozenset(_misspellings(sample.where((half == 0) & (F.col("toxic") == 0)).select("text"), model))
-    x, y = [], []
-    for r in _feature_rows(sample.where(half == 1).select("doc_id", "toxic", "text"), model, "toxic int, ").toLocalIterator():
-        x.append(r["hits"])
-        y.append(r["toxic"])
-    if x:
-        model.weights, model.bias = _logistic(np.log1p(np.array(x, float)), np.array(y, float))
+    model.ordinary = frozenset(_misspellings(first.where("toxic = 0").select("text"), model))
+    rows = sorted((r["doc_id"], r["toxic"], *r["hits"]) for r in _feature_rows(second.select("doc_id", "toxic", "text"), model, "toxic int, ").toLocalIterator())
+    if rows:
+        x = np.array(rows, float)
+        model.weights, model.bias = _logistic(np.log1p(x[:, 2:]), x[:, 1])
+    model.used = (first.count(), len(rows))
     return model
 
 
@@ -364,14 +389,13 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns; where they lie, without a join."""
 
     @F.pandas_udf("array<int>")
-    def hits(texts):
-        scorer = drop_toxic.scorers.setdefault(repr(model), Scorer(model))
-        return texts.map(lambda t: scorer.features(t or ""))
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in batches:
+            yield texts.map(lambda t: scorer.features(t or ""))
 
     z = F.lit(float(model.bias))
     for i, w in enumerate(model.weights):
         z += F.log1p(F.col("__rf_hits")[i]) * float(w)
     return docs.withColumn("__rf_hits", hits("text")).where(z < 0).drop("__rf_hits")
 
-
-drop_toxic.scorers = {}

@@ -84,6 +84,28 @@ def test_toxicity_reads_no_held_out_label(toxic):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, other)
 
 
+def test_fit_does_not_depend_on_the_order_of_rows(toxic):
+    docs, labels, _ = toxic
+    again = docs.unionByName(docs.limit(50)).repartition(7)  # repeated rows too
+    model, other = toxicity.fit(docs, labels), toxicity.fit(again, labels.repartition(5))
+    assert model == other and sum(model.used) > 300
+
+
+def test_toxicity_held_out_accuracy(spark, small):
+    """On the labels of a larger table: at least 85 of 100 toxic documents of the held-out fold are found, at most one of 100 clean ones is rejected."""
+    docs, labels = (spark.read.parquet(f"{small}/../sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [(truth[r.doc_id], r.predicted) for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").collect() if r.doc_id in truth]
+    assert np.mean([p for y, p in got if y]) >= 0.85 and np.mean([p for y, p in got if not y]) <= 0.01
+
+
+def test_automaton_forgets(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOVES", 10)
+    a = toxicity.Automaton([("worthless", False)])
+    words = ["worthless", "worthles", "wrthlss", "x", "warthless", "worthlessness"]
+    assert [a.edits(w) for w in words * 3] == [0, 1, 2, None, 1, None] * 3 and len(a.moves) < 60
+
+
 def test_toxicity_without_labels(toxic, empty, clashing):
     docs, labels, _ = toxic
     model = toxicity.fit(docs, labels.where("false"))
