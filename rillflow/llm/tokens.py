@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib.metadata
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import id_and_text, keep, tokenizer_file
+from rillflow.llm.common import id_and_text, keep, key_filter, passes, tokenizer_file
 
 CACHE_SCHEMA = "content_sha256 string, tokenizer_sha256 string, n_tokens long"
 #: Words that a Python worker remembers, and the longest of them.
@@ -31,9 +32,30 @@ def tokenizer_version(name: str) -> str:
     return hashlib.sha256(data + importlib.metadata.version(library).encode()).hexdigest()
 
 
+@lru_cache(maxsize=8)
 def drops_white_space(name: str) -> bool:
-    """Whether runs of white space never count, as in the word tokenizer with word ends."""
-    return name.startswith("word_")
+    """Whether ASCII white space only parts words and never counts, by the tokenizer's file.
+
+    So it is if the text is first cut into the matches of a plain pattern that no such character is part of, and
+    the normaliser changes letters or runs of white space alone.
+    """
+    if not name.endswith(".json"):
+        return False
+    import regex
+
+    spec = json.load(open(tokenizer_file(name), encoding="utf-8"))
+    if any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"]):
+        return False
+    steps = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+    for step in steps.get("normalizers", [steps]):
+        runs = step["type"] == "Replace" and (step["pattern"], step["content"]) == ({"Regex": r"\s+"}, " ")
+        if not runs and step["type"] not in ("NFC", "Lowercase"):
+            return False
+    split = spec["pre_tokenizer"] or {}
+    split = split.get("pretokenizers", [split])[0]
+    if split.get("type") != "Split" or split["behavior"] != "Removed" or not split["invert"] or "(?" in (pattern := split["pattern"].get("Regex", "(?")):
+        return False
+    return not any(regex.search(pattern, f"{x}{c}{y}", pos=0) and any(c in m for m in regex.findall(pattern, f"{x}{c}{y}")) for c in " \t\n\v\f\r" for x in ("", "a", "1", "'", ".") for y in ("", "a", "1", "s", "."))
 
 
 def normalised(text: Column, name: str) -> Column:
@@ -111,18 +133,28 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "word_bpe_49
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs(doc_id, text)``; misses are appended to the cache.
 
     Null and empty texts have no bytes and no tokens. Repeated rows and null ids are counted like others;
-    other columns are not read. The text of one row of each distinct missing content is shuffled, skinny
-    rows otherwise; the last join is on digests, and Spark splits the digest of a hot text by itself.
+    other columns are not read. Digests and counts are shuffled; texts are encoded where they lie, one row of
+    each distinct missing content being picked by a filter of at most 32 MB (it lets about one in 200 others
+    through, which costs a repeated encoding). Beyond ``FILTER_KEYS`` misses the texts are joined to them
+    instead, and the missing ones move. With a full cache no text is encoded and none moves.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
-    rows = id_and_text(docs).withColumn("content_sha256", F.sha2(normalised(F.col("text"), tokenizer), 256))
-    skinny = keep(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_sha256"), "digests")
+    digest = F.sha2(normalised(F.col("text"), tokenizer), 256)
+    number = F.xxhash64("doc_id", "text")
+    rows = id_and_text(docs)
+    skinny = keep(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("content_sha256"), number.alias("h")), "digests")
     cache = open_cache(spark, cache_path).where(F.col("tokenizer_sha256") == version).select("content_sha256", "n_tokens")
-    first = skinny.groupBy("content_sha256").agg(F.min("doc_id").alias("first_id"))
-    misses = first.join(cache, "content_sha256", "left_anti").withColumnRenamed("content_sha256", "__digest")
-    wanted = rows.join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("content_sha256") == F.col("__digest")), "left_semi")
-    new = _encode(wanted.select("content_sha256", "text"), tokenizer)
+    first = skinny.groupBy("content_sha256").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    misses = keep(first.join(cache, "content_sha256", "left_anti"), "misses")
+    found = key_filter(misses.select("first.h"))
+    if found:
+        wanted = passes(rows, number, found).withColumn("content_sha256", digest)
+    else:
+        keys = misses.select(F.col("first.doc_id").alias("first_id"), F.col("content_sha256").alias("__digest"))
+        wanted = rows.withColumn("content_sha256", digest).join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("content_sha256") == F.col("__digest")), "left_semi")
+    new = _encode(wanted.select("content_sha256", "text"), tokenizer).groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))
+    new = new.join(misses.select("content_sha256"), "content_sha256", "left_semi")
     new.select("content_sha256", F.lit(version).alias("tokenizer_sha256"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = open_cache(spark, cache_path).where(F.col("tokenizer_sha256") == version).groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))
     counts = keep(counts, "counts")

@@ -63,6 +63,40 @@ def test_other_tokenizers(spark, texts, name):
     assert got == dict(enumerate(n))
 
 
+def test_white_space_by_the_file():
+    assert [tokens.drops_white_space(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model")] == [True, False, False]
+
+
+def test_full_cache_moves_no_text(spark, docs, monkeypatch):
+    """Only missing texts are encoded, and a second run encodes none; beyond the filter's limit counts are the same."""
+    path, seen = scratch(spark, "cache"), []
+    encode = tokens._encode
+    monkeypatch.setattr(tokens, "_encode", lambda texts, name: seen.append((texts.count(), texts._jdf.queryExecution().toString())) or encode(texts, name))
+    first = Counter(map(tuple, tokens.count_tokens(docs, path).collect()))
+    again = Counter(map(tuple, tokens.count_tokens(docs, path).collect()))
+    assert first == again and seen[0][0] < docs.count() and seen[1][0] == 0
+    assert "Join LeftSemi" in seen[1][1] and "BroadcastHashJoin" in seen[1][1] and "SortMergeJoin" not in seen[1][1]
+    from rillflow.llm import common
+
+    monkeypatch.setattr(common, "FILTER_KEYS", 5)
+    assert Counter(map(tuple, tokens.count_tokens(docs, scratch(spark, "cache")).collect())) == first
+    for f in (exact.keep_distinct, simhash.keep_one_of_each):
+        few = f(docs).count()
+        monkeypatch.setattr(common, "FILTER_KEYS", 10**6)
+        assert f(docs).count() == few
+        monkeypatch.setattr(common, "FILTER_KEYS", 5)
+
+
+def test_key_filter(spark):
+    from rillflow.llm.common import key_filter, passes
+
+    ids = spark.range(20_000)
+    found = key_filter(spark.range(5000).select(F.xxhash64("id").alias("h")))
+    some, rest = (passes(ids, F.xxhash64("id"), found, how) for how in ("left_semi", "left_anti"))
+    assert some.where("id < 5000").count() == 5000 and some.count() < 5300 and some.count() + rest.count() == 20_000
+    assert passes(ids, F.xxhash64("id"), key_filter(spark.range(0).select(F.col("id").alias("h"))), "left_anti").count() == 20_000
+
+
 def lowered(t):
     return (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
 
