@@ -1,9 +1,8 @@
 """HTML extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
 Blocks are described by their ancestors' tags and class words and by their text; the field is trained by
-forward-backward gradients on labelled pages and decoded by Viterbi. Pages carry no labels, so a bounded
-number of them is labelled from structure: blocks within an article are main text, all others are not. Some
-are also shown with their furniture under other tags and class names, which keeps their labels.
+forward-backward gradients on labelled pages, which are written in many makes with their labels, and
+decoded by Viterbi.
 """
 
 from __future__ import annotations
@@ -11,17 +10,20 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the field is trained on at most, chosen by a hash of their ids, and rounds over them.
-TRAIN_PAGES, ROUNDS = 300, 8
+from rillflow.llm import makes
+
+#: Written pages that the field is trained on, and rounds over them.
+WRITTEN_PAGES, ROUNDS = 1000, 6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.DOTALL)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -34,23 +36,48 @@ ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr
 MAIN, OTHER = 1, 0
 
 
+@dataclass
+class Element:
+    """An open or closed element: its feature words, the sections around it, and sums over what it holds."""
+
+    tag: str
+    words: tuple[str, ...]
+    sections: frozenset[str]
+    parent: Element | None
+    first: int = 0
+    last: int = 0
+    chars: int = 0
+    linked: int = 0
+    prose: int = 0  # letters outside links of the paragraphs right below it
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # feature words of its ancestors
+    parent: Element
     text: str
-    linked: float  # share of its letters within links
+    linked: int  # letters within links
+
+
+#: Elements that tell what they hold, at any distance.
+SECTIONS = frozenset("article main aside nav footer header form section table".split())
+#: Elements beyond which an end that a start tag implies doesn't reach.
+SCOPES = frozenset("ul ol table dl select div article section nav aside main header footer form blockquote figure fieldset details dialog body".split())
+#: Nearest elements whose words describe a block, and letters of a class word that count.
+NEAREST, STEM = 8, 6
 
 
 @lru_cache(maxsize=50_000)
 def _labels(tag: str, attrs: str) -> tuple[str, ...]:
-    """An element's feature words: its tag, and the words of its class, id and role."""
+    """An element's feature words: its tag, and the stems of the words of its class, id and role."""
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
-    return (f"<{tag}>", *sorted({f".{w.lower()}" for w in _WORDS.findall(html.unescape(names))}))
+    return (f"<{tag}>", *sorted({f".{w.lower()[:STEM]}" for w in _WORDS.findall(html.unescape(names))}))
 
 
 def parse(page: str) -> list[Block]:
-    """The leaf blocks in page order: text between block-level tags, references decoded, white space made one space."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """The leaf blocks in page order: text between block-level tags, references decoded, white space made one space. Linear in the page."""
+    root = Element("", (), frozenset(), None)
+    stack: list[Element] = [root]
+    opened: Counter = Counter()
     out: list[Block] = []
     text: list[str] = []
     linked = links = at = 0
@@ -59,10 +86,23 @@ def parse(page: str) -> list[Block]:
         nonlocal linked
         words = " ".join("".join(text).split())
         if words:
-            out.append(Block(tuple(w for _, ws in stack for w in ws), words, min(1.0, linked / len(words))))
+            b = Block(stack[-1], words, min(linked, len(words)))
+            out.append(b)
+            for e in (b.parent, b.parent.parent) if b.parent.tag in ("p", "li", "blockquote") and b.parent.parent else (b.parent,):
+                e.prose += len(words) - b.linked
+            b.parent.chars += len(words)
+            b.parent.linked += b.linked
         text.clear()
         linked = 0
 
+    def pop() -> Element:
+        e = stack.pop()
+        opened[e.tag] -= 1
+        e.last = len(out)
+        e.parent.chars += e.chars
+        e.parent.linked += e.linked
+        return e
+
     n = len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -78,30 +118,32 @@ def parse(page: str) -> list[Block]:
         if m["close"]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "br" or tag == "p" and not opened["p"]:
                 text.append(" ") if tag == "br" else flush()
                 continue
-            if any(t == tag for t, _ in stack):
-                if tag in BLOCKS:
-                    flush()
-                    links = 0
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                flush()
+                links = 0
+                while pop().tag != tag:
                     pass
             continue
         if tag in BLOCKS:
             flush()
             links = 0
-            ends = ENDS.get(tag, {"p"})
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("ul", "ol", "table", "dl", "select", "div", "article", "section", "nav")), -1)
-            cut = next((i for i in range(depth + 1, len(stack)) if stack[i][0] in ends), None)
-            if cut is not None:
-                del stack[cut:]
+            ends = ENDS.get(tag, _P)
+            if any(opened[t] for t in ends):
+                cut, i = None, len(stack) - 1
+                while i > 0 and stack[i].tag not in SCOPES:
+                    cut = i if stack[i].tag in ends else cut
+                    i -= 1
+                while cut is not None and len(stack) > cut:
+                    pop()
         elif tag == "br":
             text.append(" ")
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             if tag in ("textarea", "noscript"):
                 flush()
             at = end.end() if end else n
@@ -109,22 +151,63 @@ def parse(page: str) -> list[Block]:
         if tag == "a":
             links += 1
         elif tag in BLOCKS:
-            stack.append((tag, _labels(tag, m["attrs"])))
+            around = stack[-1].sections
+            stack.append(Element(tag, _labels(tag, m["attrs"]), around | {tag} if tag in SECTIONS and tag not in around else around, stack[-1], len(out)))
+            opened[tag] += 1
     flush()
+    while len(stack) > 1:
+        pop()
+    root.last = len(out)
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    at = [i for i, w in enumerate(path) if w[0] == "<"]
-    own = path[at[-1] :] if at else ()
-    return (*dict.fromkeys(path), *(f"own{w}" for w in own), f"pair{''.join(path[i] for i in at[-2:])}")
-
-
-def features(b: Block) -> tuple[str, ...]:
-    """Ancestor words, the block's own tag, and its length, links, digits and closing mark in classes."""
-    t = b.text
-    return (*_path_features(b.path), f"len{min(8, len(t).bit_length())}", f"link{round(b.linked * 4)}", f"end{t[-1] if not t[-1].isalnum() else 'a'}", "©" if "©" in t else "-")
+_P = {"p"}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.IGNORECASE) for tag in RAW}
+
+
+def _nearest(e: Element) -> list[Element]:
+    found = []
+    while e.parent is not None and len(found) < NEAREST:
+        found.append(e)
+        e = e.parent
+    return found
+
+
+def _share(part: int, whole: int) -> int:
+    return 4 * part // whole if whole else 0
+
+
+def _core(blocks: list[Block]) -> tuple[int, int]:
+    """The blocks of the element that holds the most prose right below it, or within its sections."""
+    best, seen = None, set()
+    for b in blocks:
+        for e in _nearest(b.parent)[:3]:
+            if id(e) not in seen:
+                seen.add(id(e))
+                if best is None or e.prose > best.prose:
+                    best = e
+    return (best.first, best.last) if best else (0, 0)
+
+
+def describe(blocks: list[Block]) -> list[tuple[str, ...]]:
+    """Each block's features: words of its nearest elements, the sections around it, its length, links and closing mark, and its place by the page's core of prose and its title."""
+    first, last = _core(blocks)
+    whole = sum(len(b.text) for b in blocks)
+    title, out = False, []
+    for i, b in enumerate(blocks):
+        path = _nearest(b.parent)
+        own = path[0].words if path else ()
+        title = title or b.parent.tag == "h1"
+        place = "in" if first <= i < last else "before" if i < first else "after"
+        up = [*path[:3], *[b.parent] * (3 - len(path))]
+        t = b.text
+        size, link = min(8, len(t).bit_length()), _share(b.linked, len(t))
+        out.append((
+            *{w for e in path for w in e.words}, *(f"own{w}" for w in own), "pair" + "".join(e.tag + ">" for e in reversed(path[:2])), *(f"section {x}" for x in b.parent.sections),
+            f"len{size}", f"link{link}", f"end{t[-1] if not t[-1].isalnum() else 'a'}", "©" if "©" in t else "-", f"core {place}", f"core {place} len{size}", f"core {place} link{link}",
+            f"core {place} {b.parent.tag}", f"title {title}", f"links {_share(up[1].linked, up[1].chars)}", f"links above {_share(up[2].linked, up[2].chars)}", f"share {_share(up[1].chars, whole)}",
+        ))
+    return out
 
 
 @dataclass
@@ -184,70 +267,31 @@ class Field:
                 self.weights[f] = self.weights.get(f, 0.0) + change
 
 
-def label(b: Block) -> int:
-    """Main text by structure: within an article or main element, and in no furniture there."""
-    inside = "<article>" in b.path or "<main>" in b.path
-    return MAIN if inside and not any(w in b.path for w in ("<nav>", "<aside>", "<footer>", "<form>", "<header>", "<button>", "<select>")) else OTHER
-
-
-#: Names under which furniture and articles occur on the web (tag, class words), and elements of an article.
-FURNITURE = (("div", "sidebar"), ("aside", ""), ("div", "cookie notice"), ("div", "ad banner"), ("div", "advert sponsored promo"), ("section", "comments"), ("div", "comment reply"), ("ul", "menu nav"), ("div", "footer copyright"), ("header", "site header"), ("form", "newsletter subscribe"), ("div", "related share social"), ("div", "popup modal consent"), ("div", "breadcrumb"), ("button", ""), ("nav", ""), ("footer", ""))
-SHAPES = (("<ul>", "<li>"), ("<h2>",), ("<blockquote>",), ("<blockquote>", "<p>"), ("<table>", "<tr>", "<td>"), ("<ol>", "<li>"), ("<pre>",), ("<figure>", "<figcaption>"), ("<h3>",), ())
-ARTICLES = (("article", ""), ("div", "content"), ("main", ""), ("div", "post entry body"), ("section", "article story text"), ("div", "main"))
-
-
-def variants(blocks: list[Block], number: int, most: int = 4) -> Iterator[tuple[list[Block], list[int]]]:
-    """A labelled page, and some of its text under other names by turns, with furniture around and within the article."""
-    labels = [label(b) for b in blocks]
-    yield blocks, labels
-    others, main = [b for b, y in zip(blocks, labels, strict=True) if not y], [b for b, y in zip(blocks, labels, strict=True) if y][:12]
-    if not (others and main):
-        return
-    for turn in range(most * number, most * (number + 1)):
-
-        def name(pair: tuple[str, str], k: int) -> tuple[str, ...]:
-            """The element with all its class words, or with one of them."""
-            words = pair[1].split()
-            return (f"<{pair[0]}>", *(f".{w}" for w in (words[k % len(words) :][:1] if words and k % 4 else words)))
-
-        root = ("<html>", "<body>")
-        article = name(ARTICLES[turn % len(ARTICLES)], turn // len(ARTICLES))
-        page, ys = [], []
-        for i in range(3):
-            for j in range(2):
-                n = turn * 7 + 2 * i + j
-                kind = name(FURNITURE[n % len(FURNITURE)], n // len(FURNITURE))
-                # What stands in furniture may be short links or whole sentences, its own or a paragraph's.
-                source = (main, others)[n // 3 % 2]
-                b = source[n % len(source)]
-                page.append(Block((*root, *(article if i == 1 else ()), *kind, *((), ("<p>",), ("<ul>", "<li>"))[n % 3]), b.text, (0.0, 1.0, 0.0)[n // 2 % 3]))
-                ys.append(OTHER)
-                if i == 1:
-                    for m, b in list(enumerate(main))[j::2]:
-                        own = SHAPES[(turn + m) % len(SHAPES)] if m % 3 == 2 else SHAPES[0] if m % 3 and turn % 3 == 1 else tuple(w for w in b.path[-1:] if w[1:-1] in BLOCKS - {"article", "main", "div", "body"})
-                        page.append(Block((*root, *article, *own), b.text, b.linked))
-                        ys.append(MAIN)
-        yield page, ys
-
-
-def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Field:
-    """A field from at most ``most`` pages that hold an article; without any, everything outside furniture names is main text."""
-    ids = pages.select(F.col("page_id").alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
-    rows = pages.select("page_id", "html").join(F.broadcast(ids), F.col("page_id") == F.col("__id")).dropDuplicates(["page_id"]).orderBy("page_id")
+def train(marked: Iterable[str] = (), written: int = WRITTEN_PAGES) -> Field:
+    """A field from labelled pages: ``written`` ones of many makes (``makes.py``) and any further ``marked`` in the same way.
+
+    Nothing of the table to be extracted is read, so its size doesn't matter and its pages are all unseen.
+    """
+    shown = [x for page in chain(makes.pages(written, seed=1), marked) if MAIN in (x := labelled(page))[1]]
     crf, squares = Field(), {}
-    shown = [v for i, r in enumerate(rows.toLocalIterator()) for v in variants(parse(r["html"] or ""), i) if v[0]]
-    shown = [([features(b) for b in blocks], ys) for blocks, ys in shown if MAIN in ys]
     for k in range(ROUNDS):
         for fs, ys in shown:
             crf.train_on(fs, ys, 0.3 / (k + 1), squares)
-    if not shown:
-        crf.weights = {w: -1.0 for tag, names in FURNITURE for w in ([f"<{tag}>"] if tag not in ("div", "section", "ul") else []) + [f".{c}" for c in names.split()]} | {"len0": 0.1, "<nav>": -1.0, "<footer>": -1.0} | {f"own<{t}>": 0.5 for t in ("p", "h1", "h2", "li")}
     return crf
 
 
+def labelled(page: str) -> tuple[list[tuple[str, ...]], list[int]]:
+    """Features and labels of a written page, whose main blocks begin with a mark that is taken off first."""
+    blocks = parse(page)
+    ys = [MAIN if makes.MARK in b.text else OTHER for b in blocks]
+    for b in blocks:
+        b.text = b.text.replace(makes.MARK, "")
+    return describe(blocks), ys
+
+
 def main_text(page: str, crf: Field) -> str:
     blocks = parse(page)
-    keep = crf.viterbi(crf.scores([features(b) for b in blocks]))
+    keep = crf.viterbi(crf.scores(describe(blocks)))
     return "\n".join(b.text for b, y in zip(blocks, keep, strict=True) if y == MAIN)
 
 

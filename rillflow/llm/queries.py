@@ -33,8 +33,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = table(spark, sf_dir, "pages")
-    return pages.extract(html, pages.train(html))
+    return pages.extract(table(spark, sf_dir, "pages"), pages.train())
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
