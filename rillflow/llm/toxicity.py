@@ -32,6 +32,8 @@ STEMS, LEAST_DOCS = range(4, 9), 4
 STEM_MARGIN = 20.0
 #: Words that a Python worker remembers, moves that an automaton remembers, and code points of context on either side of a hit.
 MEMORY, MOVES, WINDOW = 400_000, 200_000, 60
+#: Terms that a task counts before it passes the counts on.
+TERMS = 100_000
 
 WORD = re.compile(r"\w+")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
@@ -218,12 +220,18 @@ def _ratio(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
 def _term_counts(sample: DataFrame, wanted: set | None) -> dict[tuple[str, bool], int]:
     """Documents by term; combined in each task, then by Spark. ``wanted`` limits the terms."""
 
+    def rows(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.bool_()), pa.array(list(n.values()), pa.int64())], names=["term", "stem", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
                 n.update(_terms(t) if wanted is None else _terms(t) & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.bool_()), pa.array(list(n.values()), pa.int64())], names=["term", "stem", "n"])
+                if len(n) >= TERMS:
+                    yield rows(n)
+                    n.clear()
+        yield rows(n)
 
     counts = sample.select("text").mapInArrow(run, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
     return {(r["term"], r["stem"]): r["n"] for r in counts.where(F.col("n") >= (LEAST_DOCS if wanted is None else 1)).toLocalIterator()}
