@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,12 @@ def _before(column: str, key: Sequence[str], order: Sequence[str]) -> Column:
 
 
 def window_moves(packets: DataFrame, key: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
-    """How often the window grows and shrinks, and how often its direction turns."""
+    """How often the window grows and shrinks, and how often its direction turns. A flow begins in the shrinking direction, so a first move up is a turn; one whose window never moves has zeros."""
     w = Window.partitionBy(*key).orderBy(*order)
     moved = packets.withColumn("__d", F.signum(F.col(column) - _before(column, key, order)).cast("int"))
-    turns = moved.where("__d <> 0").withColumn("__t", F.when(F.col("__d") != F.lag("__d").over(w), 1).otherwise(0))
-    return turns.groupBy(*key).agg(F.sum(F.when(F.col("__d") > 0, 1).otherwise(0)).alias("ups"), F.sum(F.when(F.col("__d") < 0, 1).otherwise(0)).alias("downs"), F.sum("__t").alias("turns"))
+    past = F.last(F.when(F.col("__d") != 0, F.col("__d")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    turned = moved.withColumn("__t", (F.col("__d") != 0) & (F.col("__d") != F.coalesce(past, F.lit(-1))))
+    return turned.groupBy(*key).agg(*(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in (("ups", F.col("__d") > 0), ("downs", F.col("__d") < 0), ("turns", F.col("__t")))))
 
 
 def changes(packets: DataFrame, key: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
@@ -64,96 +66,162 @@ def running_average(packets: DataFrame, key: Sequence[str], column: str, order:
     return means.groupBy(*key).agg(F.round(F.avg(column), 4).alias("rtt"), F.round(F.avg("__j"), 4).alias("jitter"))
 
 
-def smoothed(values: Sequence[float], keep: float = 0.7) -> float:
-    """First-order filter over a sequence, seeded with its first value."""
-    out = float(values[0]) if len(values) else 0.0
-    for v in values:
-        out = keep * out + (1 - keep) * v
-    return out
-
-
 def scanners(flows: DataFrame, src: str, dst: str, pkts: str, flags: str, anomalies: str, scan_bits: int) -> DataFrame:
     """Flows by source that look like scans: no answer, fewer than five packets, and SYN, RST or a scan anomaly."""
     hit = (F.col(pkts) < 5) & (bits(F.col(flags), SYN | RST, False) | bits(F.col(anomalies), scan_bits, False))
     return flows.where(hit).groupBy(src).agg(F.count("*").alias("scan_flows"), F.countDistinct(dst).alias("targets"))
 
 
+@dataclass
+class Side:
+    """What one direction of a connection has shown."""
+
+    state: str = "new"
+    anomaly: int = 0
+    packets: int = 0
+    last: int = 0
+    syn: int | None = None  # sequence numbers
+    fin: int | None = None
+    syn_acked: bool = False
+    fin_acked: bool = False
+    lone_fin: bool = False
+
+    def next_syn(self) -> int:
+        return (self.syn or 0) + 1
+
+
 class Connection:
-    """Both directions of a connection: NEW, ESTABLISHED, CLOSING, CLOSED, RESET, and anomaly bits."""
+    """A connection watched from its middle: each direction has a state and anomaly bits of its own, and may change the other's."""
 
     # Anomaly bits.
-    BAD_OPEN, BAD_CLOSE, EVIL, AFTER_CLOSE, AFTER_RESET = 0x01, 0x02, 0x04, 0x08, 0x10
+    BAD_OPEN, BAD_CLOSE, BAD_FLAGS, AFTER_CLOSE, AFTER_RESET, RESET_SENT, EVIL = 0x01, 0x02, 0x04, 0x08, 0x10, 0x40, 0x80
 
     def __init__(self) -> None:
-        self.state, self.anomaly = "new", 0
-        self.syn: dict[str, int | None] = {}
-        self.acked: set[str] = set()
-        self.fins: set[str] = set()
-
-    def packet(self, way: str, flags: int, seq: int | None = None, ack: int | None = None) -> None:
-        peer = "B" if way == "A" else "A"
-        if flags & (FIN | SYN) == FIN | SYN or flags & 0x3F == 0:
-            self.anomaly |= self.EVIL
-            return
-        if self.state == "reset":
-            self.anomaly |= self.AFTER_RESET
-        elif self.state == "closed":
-            self.anomaly |= self.AFTER_CLOSE
+        self.sides: dict[str, Side] = {}
+
+    def packet(self, way: str, flags: int, seq: int = 0, ack: int = 0, time: int = 0) -> None:
+        me = self.sides.setdefault(way, Side())
+        peer = next((s for w, s in self.sides.items() if w != way), None)
+        me.packets, me.last = me.packets + 1, time
+        if flags & 0x3F in (0, 0x29):
+            me.anomaly |= self.EVIL
+        getattr(self, f"_{me.state}")(me, peer, flags, seq, ack)
+
+    @staticmethod
+    def _mark(bits: int, *sides: Side | None) -> None:
+        for s in sides:
+            if s:
+                s.anomaly |= bits
+
+    @classmethod
+    def _enter(cls, state: str, bits: int, *sides: Side | None) -> None:
+        cls._mark(bits, *sides)
+        for s in sides:
+            if s:
+                s.state = state
+
+    @staticmethod
+    def _confirm_fin(peer: Side | None, ack: int) -> None:
+        if peer and peer.fin is not None and ack == peer.fin + 1:
+            peer.fin_acked = True
+
+    def _reset_by(self, me: Side, peer: Side | None, bits: int) -> None:
+        self._enter("reset", bits, me, peer)
+        me.anomaly |= self.RESET_SENT
+
+    def _new(self, me: Side, peer: Side | None, flags: int, seq: int, ack: int) -> None:
+        kind = flags & (ACK | RST | SYN | FIN)
+        answers = peer is not None and ack == peer.next_syn()
+        if kind in (SYN, SYN | ACK):
+            me.syn = seq
+            if kind == SYN:
+                return
+            if answers:
+                peer.syn_acked = True
+            else:
+                self._enter("established", self.BAD_OPEN, me, peer)
+        elif kind == ACK and peer:
+            if answers:
+                peer.syn_acked = True
+                if me.syn_acked:
+                    self._enter("established", 0, me, peer)
+            else:
+                self._enter("established", self.BAD_OPEN, me, peer)
         elif flags & RST:
-            self.state = "reset"
-        elif self.state == "new":
-            self._opening(way, peer, flags, seq, ack)
-        elif flags & FIN:
-            if not flags & ACK:
-                self.anomaly |= self.EVIL
-            self.fins.add(way)
-            self.state = "closing"
-        elif flags & SYN and self.state == "established":
-            self.anomaly |= self.BAD_OPEN
-        elif self.state == "closing" and flags & ACK and len(self.fins) == 2:
-            self.state = "closed"
-
-    def _opening(self, way: str, peer: str, flags: int, seq: int | None, ack: int | None) -> None:
-        if flags & SYN:
-            self.syn[way] = seq
-            if flags & ACK:
-                self.acked.add(way)
-                if ack is not None and self.syn.get(peer) is not None and ack != self.syn[peer] + 1:
-                    self.anomaly |= self.BAD_OPEN
-        elif flags & FIN:
-            self.anomaly |= self.BAD_CLOSE if flags & ACK else self.EVIL
-            self.fins.add(way)
-            self.state = "closing"
+            refusal = kind == RST | ACK and peer
+            self._reset_by(me, peer, 0 if refusal else self.BAD_OPEN)
+            if not peer:
+                me.anomaly |= self.EVIL
+        elif kind == FIN | ACK:
+            me.fin, me.state = seq, "closing"
+            self._mark(self.BAD_OPEN, me, peer)
+            me.lone_fin = me.lone_fin or peer is None
+            self._confirm_fin(peer, ack)
+        elif kind == FIN:
+            me.anomaly |= self.EVIL
         else:
-            if not (peer in self.acked and way in self.syn):
-                self.anomaly |= self.BAD_OPEN
-            self.state = "established"
+            self._enter("established", self.BAD_OPEN, me, peer)
 
-    @property
-    def timeout(self) -> float:
-        return STATE_TIMEOUT[self.state]
+    def _established(self, me: Side, peer: Side | None, flags: int, seq: int, ack: int) -> None:
+        if flags & (SYN | ACK) != ACK:
+            self._mark(self.BAD_FLAGS, me, peer)
+        if flags & FIN:
+            me.fin, me.state = seq, "closing"
+            if flags & ACK:
+                self._confirm_fin(peer, ack)
+        if flags & RST:
+            self._reset_by(me, peer, self.BAD_CLOSE)
+
+    def _closing(self, me: Side, peer: Side | None, flags: int, seq: int, ack: int) -> None:
+        if flags & RST:
+            self._reset_by(me, peer, self.BAD_CLOSE)
+        if flags & ACK:
+            self._confirm_fin(peer, ack)
+        if me.fin_acked and peer and peer.fin_acked:
+            self._enter("closed", 0, me, peer)
+
+    def _closed(self, me: Side, peer: Side | None, flags: int, seq: int, ack: int) -> None:
+        me.anomaly |= self.AFTER_CLOSE
+        if flags & RST:
+            self._reset_by(me, peer, self.BAD_CLOSE)
+
+    def _reset(self, me: Side, peer: Side | None, flags: int, seq: int, ack: int) -> None:
+        me.anomaly |= self.AFTER_RESET
+
+    def idle(self, now: int) -> bool:
+        """Whether every direction has been silent beyond the timeout of its state."""
+        return bool(self.sides) and all(now - s.last >= STATE_TIMEOUT[s.state] * 1_000_000 for s in self.sides.values())
+
+    def end(self) -> dict[str, Side]:
+        """The directions with their last bits: what a whole opening or teardown lacks, and a teardown out of nothing."""
+        sides = list(self.sides.values())
+        whole = lambda *parts: len(sides) == 2 and all(p is not None and p is not False for p in parts)
+        opened = whole(*(x for s in sides for x in (s.syn, s.syn_acked)))
+        closed = whole(*(x for s in sides for x in (s.fin, s.fin_acked)))
+        for s in sides:
+            self._mark((0 if opened else self.BAD_OPEN) | (0 if closed else self.BAD_CLOSE) | (self.EVIL if s.lone_fin and not closed else 0), s)
+        return self.sides
 
 
 class _Connections(Fold):
     def __init__(self) -> None:
-        self.conn, self.last, self.n, self.number = Connection(), None, 0, 0
+        self.conn, self.number = Connection(), 0
 
-    def add(self, way: str, flags: int, t: int) -> list[tuple]:
+    def add(self, way: str, flags: int, seq: int, ack: int, t: int) -> list[tuple]:
         done = []
-        if self.last is not None and t - self.last >= self.conn.timeout * 1_000_000:
+        if self.conn.idle(t):
             done = self.end()
-            self.conn, self.n, self.number = Connection(), 0, self.number + 1
-        self.conn.packet(way, int(flags))
-        self.n, self.last = self.n + 1, t
+            self.conn, self.number = Connection(), self.number + 1
+        self.conn.packet(way, int(flags), int(seq), int(ack), t)
         return done
 
     def end(self) -> list[tuple]:
-        return [(self.number, self.n, self.conn.state, self.conn.anomaly)]
+        return [(self.number, way, s.packets, s.state, s.anomaly) for way, s in sorted(self.conn.end().items())]
 
 
-def connection_states(packets: DataFrame, key: Sequence[str], way: str = "way", flags: str = "tcp_flags", time_us: str = "t_us", order: str = "pkt_no") -> DataFrame:
-    """Folds the packets of each key in time order; a gap beyond the timeout of its state begins a new connection.
+def connection_states(packets: DataFrame, key: Sequence[str], way: str = "way", flags: str = "tcp_flags", seq: str = "tcp_seq", ack: str = "tcp_ack", time_us: str = "t_us", order: str = "pkt_no") -> DataFrame:
+    """Folds the packets of each key in time order; silence of both directions beyond the timeouts of their states begins a new connection.
 
-    One row per connection: its ordinal, packets, last state and anomaly bits.
+    One row per connection and direction: its ordinal, packets, last state and anomaly bits.
     """
-    return ordered_fold(packets, key, [time_us, order], [way, flags, time_us], _Connections, "conn long, pkts long, state string, anomaly long")
+    return ordered_fold(packets, key, [time_us, order], [way, flags, seq, ack, time_us], _Connections, "conn long, way string, pkts long, state string, anomaly long")

@@ -184,7 +184,7 @@ def distinct_mac_list(spark, d):
 
 
 @query(f"""WITH {S}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY t_us, pkt_no) AS r, lag(event_type) OVER (PARTITION BY user_id, session ORDER BY t_us, pkt_no) AS pe FROM s),
-    h AS (SELECT *, sum(CASE WHEN pe = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, session ORDER BY r) AS grp FROM o WHERE r <= 20),
+    h AS (SELECT *, sum(CASE WHEN pe = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, session ORDER BY r) AS grp FROM o),
     c AS (SELECT user_id, session, grp, event_type, count(*) AS n FROM h GROUP BY ALL)
     SELECT user_id, session, string_agg(event_type || CASE WHEN n > 1 THEN '{{' || n || '}}' ELSE '' END, ':' ORDER BY grp) AS chain FROM c GROUP BY ALL""")
 def header_desc_counts(spark, d):
@@ -216,8 +216,9 @@ def tcpflags_string(spark, d):
     return packets(spark, d).groupBy("user_id").agg(F.bit_or("tcp_flags").alias("f")).select("user_id", tcp.flags_text(F.col("f")).alias("flags"))
 
 
-@query(f"""WITH {P}, m AS (SELECT user_id, t_us, pkt_no, sign(tcp_win - lag(tcp_win) OVER (PARTITION BY user_id ORDER BY t_us, pkt_no)) AS d FROM p), n AS (SELECT *, lag(d) OVER (PARTITION BY user_id ORDER BY t_us, pkt_no) AS e FROM m WHERE d <> 0)
-    SELECT user_id, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS ups, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS BIGINT) AS downs, CAST(sum(CASE WHEN d <> e THEN 1 ELSE 0 END) AS BIGINT) AS turns FROM n GROUP BY user_id""")
+@query(f"""WITH {P}, m AS (SELECT user_id, t_us, pkt_no, sign(tcp_win - lag(tcp_win) OVER (PARTITION BY user_id ORDER BY t_us, pkt_no)) AS d FROM p),
+    n AS (SELECT *, coalesce(last_value(CASE WHEN d <> 0 THEN d END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t_us, pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS e FROM m)
+    SELECT user_id, count(*) FILTER (d > 0) AS ups, count(*) FILTER (d < 0) AS downs, count(*) FILTER (d <> 0 AND d <> e) AS turns FROM n GROUP BY user_id""")
 def window_updown_changes(spark, d):
     return tcp.window_moves(packets(spark, d), KEY, "tcp_win", ORDER)
 
@@ -264,9 +265,10 @@ def icmp_echo_ratio(spark, d):
     return protocols.echo_ratio(packets(spark, d), KEY, F.col("event_type") == "click", F.col("event_type") == "view")
 
 
-@query(f"WITH {P} SELECT user_id, coalesce(bit_or(CASE WHEN len % 70 < 64 THEN CAST(1 AS BIGINT) << (len % 70) END), 0) AS types, count(*) FILTER (len % 70 < 64) AS pkts FROM p WHERE len % 70 <> 63 GROUP BY user_id")
+# DuckDB can't shift into the sign bit: bit 63 is written as the smallest number.
+@query(f"""WITH {P} SELECT user_id, coalesce(bit_or(CASE WHEN len % 70 < 63 THEN CAST(1 AS BIGINT) << (len % 70) WHEN len % 70 = 63 THEN CAST(-9223372036854775808 AS BIGINT) END), 0) AS types, count(*) FILTER (len % 70 < 64) AS pkts FROM p GROUP BY user_id""")
 def modbus_function_bits(spark, d):
-    return protocols.type_bits(packets(spark, d).where("len % 70 <> 63"), KEY, F.col("len") % 70)
+    return protocols.type_bits(packets(spark, d), KEY, F.col("len") % 70)
 
 
 @query(f"WITH {P} SELECT server_ip, len % 8 AS severity, CAST(floor(len / 8) AS BIGINT) % 24 AS facility, least(count(*), 65535) AS n FROM p GROUP BY ALL")
@@ -275,9 +277,9 @@ def syslog_matrix(spark, d):
 
 
 @query(f"""WITH {P}, c AS (SELECT user_id, server_ip, event_type, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, server_ip, event_type) AS r FROM c)
-    SELECT user_id, string_agg(server_ip || '_' || event_type || '_' || n, ';' ORDER BY r) AS pairs FROM r WHERE r <= 4 GROUP BY user_id""")
+    SELECT user_id, string_agg(server_ip || '_' || event_type || '_' || n, ';' ORDER BY r) AS pairs FROM r WHERE r <= 16 GROUP BY user_id""")
 def mac_pairs(spark, d):
-    return protocols.endpoint_pairs(packets(spark, d), KEY, "server_ip", "event_type", 4)
+    return protocols.endpoint_pairs(packets(spark, d), KEY, "server_ip", "event_type")
 
 
 @query(f"""WITH {P}, s AS (SELECT user_id, ((ip_id - lag(ip_id) OVER (PARTITION BY user_id ORDER BY t_us, pkt_no)) % 65536 + 65536) % 65536 AS step FROM p), a AS (SELECT user_id, CAST(sum(CASE WHEN step <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS missed, count(*) AS pkts FROM s GROUP BY user_id)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,8 +15,7 @@ from rillflow.sources.tables import table
 def _places(spark: SparkSession) -> tuple[str, str]:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return f"{run}/out", f"{run}/state"
 
@@ -42,7 +40,7 @@ def monitoring_stream(spark, d):
     return done.select(F.floor(F.unix_micros("t") / 3_600_000_000).alias("hour"), "pkts", "bytes")
 
 
-@query()
+@query(f"WITH {S} SELECT user_id AS key, min(t_us) AS t_first, max(t_us) AS t_last, count(*) AS pkts, CAST(sum(len) AS DOUBLE) AS bytes FROM s GROUP BY user_id, session")
 def stateful_flows_stream(spark, d):
     """All flows: those that a timer ended and those still open at the end of the input; no row is too late."""
     out, state = _places(spark)

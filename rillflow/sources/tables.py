@@ -16,7 +16,7 @@ _PACKETS = """
            CAST(CASE WHEN user_id % 3 < 2 THEN 6 ELSE 17 END AS BIGINT) AS l4_proto,
            CAST(CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 16 WHEN 'purchase' THEN 24 WHEN 'error' THEN 4 ELSE 1 END AS BIGINT) AS tcp_flags,
            CAST(floor(abs(value)) AS BIGINT) AS len, value, event_type, props,
-           (event_id * 7919) % 65536 AS ip_id, CAST(floor(abs(value) * 13) AS BIGINT) % 65536 AS tcp_win, 32 + (event_id * 31) % 5 AS ip_ttl
+           (event_id * 7919) % 65536 AS ip_id, CAST(floor(abs(value) * 13) AS BIGINT) % 65536 AS tcp_win, user_id * 1000 AS tcp_seq, user_id * 1000 + CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS tcp_ack, 32 + (event_id * 31) % 5 AS ip_ttl
     FROM events"""
 
 FLOW_SQL = """

@@ -66,22 +66,75 @@ def test_asymmetry_is_bounded(spark):
     assert got == {1: 0.5, 2: 1.0, 3: -1.0, 4: 0.0}
 
 
+C = tcp.Connection
+#: flag bytes
+F_, S_, R_, A_ = 0x01, 0x02, 0x04, 0x10
+
+
 def fold(*packets):
+    """(state, bits) of A and of B while the connection is open, and their bits at its end."""
     c = tcp.Connection()
-    for way, flags in packets:
-        c.packet(way, flags)
-    return c.state, c.anomaly
-
-
-def test_connection_states():
-    handshake = [("A", 0x02), ("B", 0x12), ("A", 0x10)]
-    assert fold(("A", 0x02)) == ("new", 0)
-    assert fold(*handshake) == ("established", 0)
-    assert fold(*handshake, ("A", 0x11), ("B", 0x11), ("A", 0x10)) == ("closed", 0)
-    assert fold(*handshake, ("B", 0x04)) == ("reset", 0)
-    assert fold(*handshake, ("B", 0x04), ("A", 0x10)) == ("reset", tcp.Connection.AFTER_RESET)
-    assert fold(("A", 0x10)) == ("established", tcp.Connection.BAD_OPEN)
-    assert fold(("A", 0x00)) == ("new", tcp.Connection.EVIL)
+    for p in packets:
+        c.packet(*p)
+    now = [(c.sides[w].state, c.sides[w].anomaly) if w in c.sides else None for w in "AB"]
+    last = c.end()
+    return *now, [last[w].anomaly if w in last else None for w in "AB"]
+
+
+SHAKE = [("A", S_, 100, 0), ("B", S_ | A_, 500, 101), ("A", A_, 101, 501)]
+CLOSE = [("A", F_ | A_, 110, 501), ("B", F_ | A_, 510, 111), ("A", A_, 111, 511)]
+BOTH = C.BAD_OPEN | C.BAD_CLOSE
+
+
+@pytest.mark.parametrize(
+    ("packets", "a", "b", "last"),
+    [
+        # opening
+        ([("A", S_, 1, 0)], ("new", 0), None, [BOTH, None]),
+        ([("A", S_ | A_, 1, 9)], ("established", C.BAD_OPEN), None, [BOTH, None]),
+        ([("A", S_, 100, 0), ("B", S_ | A_, 500, 999)], ("established", C.BAD_OPEN), ("established", C.BAD_OPEN), [BOTH, BOTH]),
+        (SHAKE[:2], ("new", 0), ("new", 0), [BOTH, BOTH]),
+        (SHAKE, ("established", 0), ("established", 0), [C.BAD_CLOSE, C.BAD_CLOSE]),
+        ([*SHAKE[:2], ("A", A_, 101, 7)], ("established", C.BAD_OPEN), ("established", C.BAD_OPEN), [BOTH, BOTH]),
+        ([("A", S_, 100, 0), ("B", R_ | A_, 0, 101)], ("reset", 0), ("reset", C.RESET_SENT), [BOTH, BOTH | C.RESET_SENT]),
+        ([("A", S_, 100, 0), ("B", R_, 0, 0)], ("reset", C.BAD_OPEN), ("reset", C.BAD_OPEN | C.RESET_SENT), [BOTH, BOTH | C.RESET_SENT]),
+        ([("A", R_ | A_, 0, 0)], ("reset", C.BAD_OPEN | C.RESET_SENT | C.EVIL), None, [BOTH | C.RESET_SENT | C.EVIL, None]),
+        ([("A", F_ | A_, 9, 0)], ("closing", C.BAD_OPEN), None, [BOTH | C.EVIL, None]),
+        ([("B", S_, 5, 0), ("A", F_ | A_, 9, 0)], ("closing", C.BAD_OPEN), ("new", C.BAD_OPEN), [BOTH, BOTH]),
+        ([("A", F_, 9, 0)], ("new", C.EVIL), None, [BOTH | C.EVIL, None]),
+        ([("A", A_, 9, 0)], ("established", C.BAD_OPEN), None, [BOTH, None]),
+        ([("A", S_ | F_, 9, 0)], ("established", C.BAD_OPEN), None, [BOTH, None]),
+        ([("A", 0x00, 9, 0)], ("established", C.EVIL | C.BAD_OPEN), None, [BOTH | C.EVIL, None]),
+        ([("A", 0x29, 9, 0)], ("new", C.EVIL), None, [BOTH | C.EVIL, None]),
+        # established
+        ([*SHAKE, ("B", S_, 1, 1)], ("established", C.BAD_FLAGS), ("established", C.BAD_FLAGS), [C.BAD_FLAGS | C.BAD_CLOSE] * 2),
+        ([*SHAKE, ("A", F_, 110, 0)], ("closing", C.BAD_FLAGS), ("established", C.BAD_FLAGS), [C.BAD_FLAGS | C.BAD_CLOSE] * 2),
+        ([*SHAKE, ("B", R_ | A_, 1, 1)], ("reset", C.BAD_CLOSE), ("reset", C.BAD_CLOSE | C.RESET_SENT), [C.BAD_CLOSE, C.BAD_CLOSE | C.RESET_SENT]),
+        # closing, closed, reset
+        ([*SHAKE, *CLOSE[:2]], ("closing", 0), ("closing", 0), [C.BAD_CLOSE] * 2),
+        ([*SHAKE, *CLOSE], ("closed", 0), ("closed", 0), [0, 0]),
+        ([*SHAKE, *CLOSE[:2], ("A", A_, 111, 7)], ("closing", 0), ("closing", 0), [C.BAD_CLOSE] * 2),
+        ([*SHAKE, *CLOSE[:2], ("A", R_, 0, 0)], ("reset", C.BAD_CLOSE | C.RESET_SENT), ("reset", C.BAD_CLOSE), [C.BAD_CLOSE | C.RESET_SENT, C.BAD_CLOSE]),
+        ([*SHAKE, *CLOSE, ("B", A_, 1, 1)], ("closed", 0), ("closed", C.AFTER_CLOSE), [0, C.AFTER_CLOSE]),
+        ([*SHAKE, *CLOSE, ("B", R_, 1, 1)], ("reset", C.BAD_CLOSE), ("reset", C.AFTER_CLOSE | C.BAD_CLOSE | C.RESET_SENT), [C.BAD_CLOSE, C.AFTER_CLOSE | C.BAD_CLOSE | C.RESET_SENT]),
+        ([*SHAKE, ("B", R_ | A_, 1, 1), ("A", A_, 1, 1)], ("reset", C.BAD_CLOSE | C.AFTER_RESET), ("reset", C.BAD_CLOSE | C.RESET_SENT), [C.BAD_CLOSE | C.AFTER_RESET, C.BAD_CLOSE | C.RESET_SENT]),
+    ],
+)
+def test_connection_transitions(packets, a, b, last):
+    assert fold(*packets) == (a, b, last)
+
+
+def test_silence_ends_a_connection(spark):
+    s = 1_000_000
+    rows = [(1, 0, "A", S_, 100, 0, 0), (1, 1, "B", S_ | A_, 500, 101, s), (1, 2, "A", A_, 101, 501, 2 * s), (1, 3, "A", A_, 101, 501, 611 * s), (1, 4, "B", A_, 1, 1, 1300 * s)]
+    df = spark.createDataFrame(rows, "k long, pkt_no long, way string, tcp_flags long, tcp_seq long, tcp_ack long, t_us long")
+    got = sorted(tuple(r) for r in tcp.connection_states(df, ["k"]).collect())
+    assert got == [(1, 0, "A", 3, "established", C.BAD_CLOSE), (1, 0, "B", 1, "established", C.BAD_CLOSE), (1, 1, "B", 1, "established", BOTH)]
+
+
+def test_window_moves(spark):
+    df = spark.createDataFrame([(k, i, w) for k, ws in ((1, [5, 7, 7, 6, 9]), (2, [5, 4, 3, 3, 4]), (3, [5, 5]), (4, [1])) for i, w in enumerate(ws)], "k long, i long, w long")
+    assert {r.k: (r.ups, r.downs, r.turns) for r in tcp.window_moves(df, ["k"], "w", ["i"]).collect()} == {1: (2, 1, 3), 2: (1, 2, 1), 3: (0, 0, 0), 4: (0, 0, 0)}
 
 
 def test_wavelet_keeps_energy():
