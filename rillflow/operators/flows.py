@@ -37,6 +37,20 @@ def sessionize(packets: DataFrame, key: Sequence[str], time_us: str = "t_us", or
     return starts.withColumn(name, F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__start")
 
 
+def previous(rows: DataFrame, key: Sequence[str], time: str, order: str, column: str, name: str, width: int = 3_600_000_000) -> DataFrame:
+    """Adds the value of ``column`` in the row before, by key in order of time.
+
+    Rows are ordered within stretches of ``width``, and a stretch's first row takes the last value of the one
+    before, so that a hot key's rows are in many tasks.
+    """
+    rows = rows.withColumn("__b", F.floor(F.col(time) / width))
+    last = rows.groupBy(*key, "__b").agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(time, order)).alias("__last"))
+    last = last.withColumn("__past", F.lag("__last").over(Window.partitionBy(*key).orderBy("__b"))).drop("__last")
+    w = Window.partitionBy(*key, "__b").orderBy(time, order)
+    own = rows.withColumns({"__lag": F.lag(column).over(w), "__n": F.row_number().over(w)}).join(last, [*key, "__b"])
+    return own.withColumn(name, F.when(F.col("__n") > 1, F.col("__lag")).otherwise(F.col("__past.v"))).drop("__b", "__lag", "__n", "__past")
+
+
 def flow_stats(packets: DataFrame, key: Sequence[str], size: str, time_us: str = "t_us") -> DataFrame:
     """Packets, bytes, first and last time and duration in seconds of each flow."""
     return packets.groupBy(*key).agg(

@@ -63,3 +63,9 @@ def missing(rows: DataFrame) -> DataFrame:
     """Nulls per column."""
     sums = rows.agg(*(F.sum(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in rows.columns))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("nulls")) for c in rows.columns))).alias("x")).select("x.*")
+
+
+def split(rows: DataFrame, key: str, test: float = 0.2) -> DataFrame:
+    """Each row with its part, ``train`` or ``test``, by a digest of its key: the same however the rows are dealt, and rows of one key together."""
+    share = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("part", F.when(share < int(test * 2**32), "test").otherwise("train"))

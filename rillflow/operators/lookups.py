@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows up to which a dimension is sent to every executor; larger ones are shuffled.
+#: Bytes up to which a dimension is sent to every executor; larger ones are shuffled.
+BROADCAST_BYTES = 64 * 1024 * 1024
+#: Rows up to which its bytes are counted at all.
 BROADCAST_ROWS = 1_000_000
 
 
-def small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the dimension is counted to be small, the plain dimension otherwise."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+def fits(dimension: DataFrame, most: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a dimension has at most ``rows`` rows and, written out as text with 16 bytes for each row, ``most`` bytes."""
+    counted = dimension.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("*").alias("rows"), F.sum(F.col("n") + 16).alias("bytes")).first()
+    return counted["rows"] <= rows and (counted["bytes"] or 0) <= most
+
+
+def small(dimension: DataFrame) -> DataFrame:
+    """A broadcast hint if the dimension is measured to be small, the plain dimension otherwise."""
+    return F.broadcast(dimension) if fits(dimension) else dimension
 
 
 def first_definition(dimension: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -49,11 +57,36 @@ def longest_prefix(rows: DataFrame, ip: str, subnets: DataFrame, net: str, prefi
     if not lengths:
         return rows.select(*keep, F.lit(default).alias(label))
     mask = lambda n: F.lit(0xFFFFFFFF << (32 - n) & 0xFFFFFFFF)
-    keys = F.explode(F.array(*(F.struct(F.lit(n).alias("p"), F.col(ip).bitwiseAND(mask(n)).alias("k")) for n in lengths)))
-    cut = rows.select(*keep, keys.alias("__k")).select(*keep, F.col("__k.p").alias("__p"), F.col("__k.k").alias("__n"))
-    nets = subnets.select(F.col(net).alias("__n"), F.col(prefix).alias("__p"), F.col(label).alias(label))
-    hit = cut.join(small(nets), ["__n", "__p"], "left")
-    return hit.groupBy(*keep).agg(F.coalesce(F.max_by(label, F.when(F.col(label).isNotNull(), F.col("__p"))), F.lit(default)).alias(label))
+    return _resolved(rows, ip, {n: F.col(ip).bitwiseAND(mask(n)) for n in lengths}, subnets.select(F.col(net).alias("__n"), F.col(prefix).alias("__p"), F.col(label)), label, default, keep)
+
+
+def _resolved(rows: DataFrame, address: str, keys: dict[int, Column], nets: DataFrame, label: str, default: str, keep: Sequence[str]) -> DataFrame:
+    """Each distinct address is looked up once at every length of ``nets(__n, __p, label)``; rows then take its label."""
+    tried = F.explode(F.array(*(F.struct(F.lit(n).alias("__p"), k.alias("__n")) for n, k in keys.items())))
+    cut = rows.select(address).where(F.col(address).isNotNull()).distinct().select(F.col(address).alias("__a"), tried.alias("__k")).select("__a", "__k.*")
+    found = cut.join(small(nets), ["__n", "__p"]).groupBy("__a").agg(F.max_by(label, "__p").alias("__label"))
+    return rows.select(*keep, F.col(address).alias("__own")).join(small(found), F.col("__own") == F.col("__a"), "left").select(*keep, F.coalesce("__label", F.lit(default)).alias(label))
+
+
+def longest_prefix_hex(rows: DataFrame, address: str, subnets: DataFrame, net: str, bits: str, label: str, default: str, keep: Sequence[str]) -> DataFrame:
+    """The same for addresses of any length as hexadecimal digits (IPv6 subnets and their places, makers of MAC addresses).
+
+    A prefix may end within a digit; the rest of that digit and all after it are then 0. At most 129 keys for each distinct address.
+    """
+
+    def cut(digits: Column, n: int) -> Column:
+        whole, rest = divmod(n, 4)
+        if not rest:
+            return F.substring(digits, 1, whole)
+        digit = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int").bitwiseAND(0xF << (4 - rest) & 0xF)
+        return F.concat(F.substring(digits, 1, whole), F.lower(F.conv(digit.cast("string"), 10, 16)))
+
+    lengths = sorted(r[0] for r in subnets.select(bits).distinct().limit(129).collect())
+    if not lengths:
+        return rows.select(*keep, F.lit(default).alias(label))
+    known = F.coalesce(*(F.when(F.col(bits) == n, cut(F.lower(net), n)) for n in lengths))
+    nets = subnets.select(known.alias("__n"), F.col(bits).alias("__p"), F.col(label))
+    return _resolved(rows, address, {n: cut(F.lower(address), n) for n in lengths}, nets, label, default, keep)
 
 
 def listed(rows: DataFrame, names: DataFrame, on: str, present: bool = True) -> DataFrame:
@@ -62,7 +95,9 @@ def listed(rows: DataFrame, names: DataFrame, on: str, present: bool = True) ->
 
 
 def first_rule(rows: DataFrame, rules: DataFrame, condition: Column, rule_no: str, label: str, keep: Sequence[str]) -> DataFrame:
-    """The first rule that a row meets: rules are few by contract and are compared as a broadcast; the least number wins, null if none."""
+    """The first rule that a row meets, null if none. Rules are compared with every row, so a set that can't be sent to every executor is refused."""
+    if not fits(rules):
+        raise ValueError("too many rules to compare each with every row")
     met = rows.join(F.broadcast(rules), condition, "left")
     return met.groupBy(*keep).agg(F.min_by(label, rule_no).alias(label))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -17,6 +20,20 @@ def entropy(rows: DataFrame, key: Sequence[str], symbol: str) -> DataFrame:
     return share.groupBy(*key).agg(F.when(F.max("__n") <= 2, -1.0).otherwise(F.round(-F.sum(p * F.ln(p)) / F.ln(F.lit(256.0)), 6)).alias("entropy"))
 
 
+@F.pandas_udf(DoubleType())
+def byte_entropy(payloads: pd.Series) -> pd.Series:
+    """Shannon entropy of a payload's bytes over ln 256; -1 for two or fewer, and for none. Row by row, without a shuffle."""
+
+    def of(data: bytes | None) -> float:
+        if data is None or len(data) <= 2:
+            return -1.0
+        share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data)
+        share = share[share > 0]
+        return float(-(share * np.log(share)).sum() / np.log(256.0))
+
+    return payloads.map(of)
+
+
 def character_ratios(text: Column) -> dict[str, Column]:
     """Share of printable characters (tab-free text, line ends, 127 included) and of control characters below 10."""
     n = F.greatest(F.length(text), F.lit(1))

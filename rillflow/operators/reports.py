@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,23 @@ def outward(a: str, b: str) -> Column:
     return F.when(F.col("flow_stat").bitwiseAND(1) == 0, F.col(a)).otherwise(F.col(b))
 
 
-def top(flows: DataFrame, label: Column, name: str, measure: str, n: int = 10, where: Column | None = None) -> DataFrame:
-    rows = flows if where is None else flows.where(where)
+def within(flows: DataFrame, time_from=None, time_to=None, first: str = "day_first", last: str = "day_first") -> DataFrame:
+    """Flows that begin at or after ``time_from`` and end at or before ``time_to``; None leaves a side open. On a table partitioned by the column only its days are read."""
+    if time_from is not None:
+        flows = flows.where(F.col(first) >= F.lit(time_from))
+    return flows if time_to is None else flows.where(F.col(last) <= F.lit(time_to))
+
+
+def top(flows: DataFrame, label: Column, name: str, measure: str, n: int = 10, where: Column | None = None, time_from=None, time_to=None) -> DataFrame:
+    rows = within(flows if where is None else flows.where(where), time_from, time_to)
     return rows.groupBy(label.alias(name)).agg(MEASURES[measure]().alias(measure)).orderBy(F.desc(measure), name).limit(n)
 
 
+def alarmed(flows: DataFrame, *alarms: Column) -> DataFrame:
+    """Flows for which some alarm holds; an alarm that is null doesn't."""
+    return flows.where(reduce(lambda a, b: a | b, (F.coalesce(a, F.lit(False)) for a in alarms)))
+
+
 def top_percent(flows: DataFrame, by: Sequence[str], weight: Column, least: float = 0.0, most: float = 100.0, where: Column | None = None) -> DataFrame:
     """Weight and its percentage by key; the total is taken before the filter, the percentages' band after."""
     total = flows.agg(weight.alias("__total"))

@@ -90,3 +90,9 @@ def iat_quartiles(packets: DataFrame, key: Sequence[str], ms: str) -> DataFrame:
         high = _at(F.when(whole, pos + 1).otherwise(F.ceil(pos)))
         out.append(F.round((low + high) / 2, 4).alias(name))
     return r.groupBy(*key).agg(*out)
+
+
+def band_stats(packets: DataFrame, key: Sequence[str], size: str, low: int, high: int) -> DataFrame:
+    """Packets of each key, and number, least, largest and mean size of those within ``low`` to ``high``; zeros where there is none."""
+    inside = F.when(F.col(size).between(low, high), F.col(size))
+    return packets.groupBy(*key).agg(F.count("*").alias("pkts"), F.count(inside).alias("counted"), *(F.coalesce(f(inside), F.lit(0)).alias(n) for n, f in (("min", F.min), ("max", F.max))), F.round(F.coalesce(F.avg(inside), F.lit(0.0)), 4).alias("mean"))

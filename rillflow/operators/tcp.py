@@ -66,6 +66,14 @@ def running_average(packets: DataFrame, key: Sequence[str], column: str, order:
     return means.groupBy(*key).agg(F.round(F.avg(column), 4).alias("rtt"), F.round(F.avg("__j"), 4).alias("jitter"))
 
 
+def smoothed(packets: DataFrame, key: Sequence[str], column: str, order: Sequence[str], keep: float = 0.7) -> DataFrame:
+    """First-order filter over the values in order, seeded with the first of them, in closed form: the value ``r`` steps back counts ``keep`` to the power r."""
+    back = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc(o) for o in order)))
+    rows = packets.select(*key, F.col(column).cast("double").alias("__x"), *order, back.alias("__r"))
+    total = F.sum(F.col("__x") * (1 - keep) * F.pow(F.lit(keep), F.col("__r") - 1)) + F.max_by("__x", "__r") * F.pow(F.lit(keep), F.count("*"))
+    return rows.groupBy(*key).agg(F.round(total, 4).alias("smoothed"))
+
+
 def scanners(flows: DataFrame, src: str, dst: str, pkts: str, flags: str, anomalies: str, scan_bits: int) -> DataFrame:
     """Flows by source that look like scans: no answer, fewer than five packets, and SYN, RST or a scan anomaly."""
     hit = (F.col(pkts) < 5) & (bits(F.col(flags), SYN | RST, False) | bits(F.col(anomalies), scan_bits, False))

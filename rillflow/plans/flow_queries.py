@@ -123,6 +123,28 @@ def conn_active_overlap(spark, d):
     return connections.active_overlap(h, ["server_ip"], "t0", "t1", "id")
 
 
+_FLOWS = f"{S}, h AS (SELECT user_id * 100000 + session AS id, min(client_ip) AS src, min(server_ip) AS dst, min(server_port) AS port, min(t_us) AS t0, max(t_us) AS t1 FROM s GROUP BY user_id, session)"
+
+
+@query(f"""WITH {_FLOWS}, l AS (SELECT a.id, b.src = a.src AS s, b.dst = a.dst AS t, b.port = a.port AS p, b.src AS bs, b.dst AS bd FROM h a JOIN h b ON (b.src = a.src OR b.dst = a.dst) AND b.t0 <= a.t1 AND b.t1 >= a.t1),
+    c AS (SELECT id, count(DISTINCT CASE WHEN s THEN bd END) AS conn_src, count(DISTINCT CASE WHEN t THEN bs END) AS conn_dst, count(*) FILTER (s AND t) AS conn_pair, count(DISTINCT CASE WHEN s AND p THEN bd END) AS conn_src_port FROM l GROUP BY id)
+    SELECT *, round(conn_src_port / conn_src, 6) AS conn_f FROM c""")
+def conn_flow_end(spark, d):
+    h = sessions(spark, d).groupBy("user_id", "session").agg(F.min("t_us").alias("t0"), F.max("t_us").alias("t1"), F.min("client_ip").alias("src"), F.min("server_ip").alias("dst"), F.min("server_port").alias("port")).withColumn("id", F.col("user_id") * 100000 + F.col("session"))
+    return connections.connection_counters(h, "src", "dst", "port", "t0", "t1", "id")
+
+
+@query(f"WITH {P} SELECT user_id, count(*) AS pkts, count(*) FILTER (len BETWEEN 20 AND 80) AS counted, coalesce(min(len) FILTER (len BETWEEN 20 AND 80), 0) AS min, coalesce(max(len) FILTER (len BETWEEN 20 AND 80), 0) AS max, round(coalesce(avg(len) FILTER (len BETWEEN 20 AND 80), 0.0e0), 4) AS mean FROM p GROUP BY user_id")
+def size_band_stats(spark, d):
+    return stats.band_stats(packets(spark, d), KEY, "len", 20, 80)
+
+
+@query(f"""WITH {P}, r AS (SELECT user_id, tcp_win, row_number() OVER (PARTITION BY user_id ORDER BY t_us DESC, pkt_no DESC) AS r FROM p)
+    SELECT user_id, round(sum(tcp_win * 0.3e0 * pow(0.7e0, r - 1)) + arg_max(tcp_win, r) * pow(0.7e0, count(*)), 4) AS smoothed FROM r GROUP BY user_id""")
+def window_smoothed(spark, d):
+    return tcp.smoothed(packets(spark, d), KEY, "tcp_win", ORDER)
+
+
 @query(f"""WITH {P}, a AS (SELECT server_ip, server_port, count(*) AS port_flows FROM p GROUP BY ALL), b AS (SELECT server_ip, count(DISTINCT client_ip) AS peers FROM p GROUP BY ALL)
     SELECT server_ip, server_port, port_flows, peers, round(port_flows / peers, 6) AS conn_f FROM a JOIN b USING (server_ip)""")
 def conn_f(spark, d):

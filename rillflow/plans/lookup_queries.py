@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillflow.functions import query as q
+from rillflow.operators import flows as flow_ops
 from rillflow.operators import learning, lookups, payload
 from rillflow.plans.flow_queries import sessions
 from rillflow.plans.registry import L, P, S, query
@@ -78,8 +79,8 @@ def regex_max_severity(spark, d):
 
 @query(f"""WITH {P}, x AS (SELECT user_id, server_ip, event_type, lag(event_type) OVER (PARTITION BY server_ip ORDER BY t_us, pkt_no) AS b FROM p) SELECT server_ip, CAST(sum(CASE WHEN event_type <> b THEN 1 ELSE 0 END) AS BIGINT) AS spoofs, count(DISTINCT event_type) AS macs FROM x GROUP BY server_ip""")
 def arp_spoof_lag(spark, d):
-    before = F.lag("event_type").over(Window.partitionBy("server_ip").orderBy("t_us", "pkt_no"))
-    return packets(spark, d).withColumn("__s", F.when(F.col("event_type") != before, 1).otherwise(0)).groupBy("server_ip").agg(F.sum("__s").alias("spoofs"), F.countDistinct("event_type").alias("macs"))
+    p = flow_ops.previous(packets(spark, d), ["server_ip"], "t_us", "pkt_no", "event_type", "before")
+    return p.withColumn("__s", F.when(F.col("event_type") != F.col("before"), 1).otherwise(0)).groupBy("server_ip").agg(F.sum("__s").alias("spoofs"), F.countDistinct("event_type").alias("macs"))
 
 
 @query(f"""WITH {P}, a AS (SELECT * FROM p WHERE event_type = 'purchase'), b AS (SELECT user_id, t_us, max(pkt_no) AS n FROM p WHERE event_type = 'signup' GROUP BY ALL)
@@ -105,11 +106,11 @@ def fragment_attach_asof(spark, d):
     return packets(spark, d).withColumn("first_part", F.last(F.when(F.col("event_type") == "click", F.col("pkt_no")), ignorenulls=True).over(w)).groupBy("first_part").agg(F.count("*").alias("parts"))
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS c FROM c GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS n FROM n)
-    SELECT doc_id, CASE WHEN max(n) <= 2 THEN -1.0e0 ELSE round(-sum(c / n * ln(c / n)) / ln(256.0e0), 6) END AS entropy FROM t GROUP BY doc_id""")
+@query("""WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents), n AS (SELECT doc_id, b, count(*) AS c FROM b GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS n FROM n),
+    e AS (SELECT doc_id, CASE WHEN max(n) <= 2 THEN -1.0e0 ELSE round(-sum(c / n * ln(c / n)) / ln(256.0e0), 6) END AS entropy FROM t GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(entropy, -1.0e0) AS entropy FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id""")
 def payload_entropy(spark, d):
-    symbols = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    return payload.entropy(symbols, ["doc_id"], "ch")
+    return table(spark, d, "documents").select("doc_id", F.round(payload.byte_entropy(F.col("text").cast("binary")), 6).alias("entropy"))
 
 
 @query(r"""SELECT doc_id, round((length(text) - length(regexp_replace(text, '[\x20-\x7F\n\r]', '', 'g'))) * 1.0e0 / greatest(length(text), 1), 6) AS char_ratio,
@@ -195,3 +196,40 @@ def query_functions(spark, d):
         "flow_ind", q.in_net("src_ip", "10.0.0.0/8").alias("in_ten"), q.private("dst_ip").alias("private_dst"), F.upper(q.ip_text(q.ip_number("src_ip"))).alias("up"), q.protocol_name().alias("proto"),
         q.port(["2000-3000", 80]).alias("ports"), q.status("ipv4").alias("v4"), q.value_contains("appl", ".", "tls", ignore_case=True).alias("tls"),
     )
+
+
+_PLACES = """n AS (SELECT CAST(n_nationkey AS BIGINT) * 8 AS lo, 8 AS width, 5 AS bits, n_name AS label FROM nation
+    UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 8 + 4, 2, 7, lower(n_name) FROM nation)"""
+
+
+@query(f"""WITH {_PLACES}, e AS (SELECT event_id, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 2) AS BIGINT) AS x FROM events), h AS (SELECT event_id, arg_max(label, bits) AS label FROM e JOIN n ON x >= lo AND x < lo + width GROUP BY event_id)
+    SELECT coalesce(label, '--') AS label, count(*) AS n FROM e LEFT JOIN h USING (event_id) GROUP BY ALL""")
+def ip6_place_lookup(spark, d):
+    """Places of 128-bit addresses (digests of the users) by the longest subnet that holds them."""
+    n = table(spark, d, "nation")
+    digits = lambda v: F.rpad(F.lpad(F.hex(v.cast("long")), 2, "0"), 32, "0")
+    nets = n.select(digits(F.col("n_nationkey") * 8).alias("net"), F.lit(5).alias("bits"), F.col("n_name").alias("label"))
+    nets = nets.unionByName(n.select(digits(F.col("n_nationkey") * 8 + 4).alias("net"), F.lit(7).alias("bits"), F.lower("n_name").alias("label")))
+    e = table(spark, d, "events").select("event_id", F.md5(F.col("user_id").cast("string")).alias("ip6"))
+    return lookups.longest_prefix_hex(e, "ip6", nets, "net", "bits", "label", "--", ["event_id"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN n_regionkey IS NULL THEN 'unknown' ELSE n_name END AS maker, count(*) AS n FROM events LEFT JOIN nation ON CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 2) AS BIGINT) = n_nationkey GROUP BY ALL")
+def mac_maker_lookup(spark, d):
+    """Makers of hardware addresses (the first twelve digits of the users' digests) by their prefix."""
+    makers = table(spark, d, "nation").select(F.rpad(F.lpad(F.hex(F.col("n_nationkey").cast("long")), 2, "0"), 6, "0").alias("prefix"), F.lit(8).alias("bits"), F.col("n_name").alias("maker"))
+    e = table(spark, d, "events").select("event_id", F.substring(F.md5(F.col("user_id").cast("string")), 1, 12).alias("mac"))
+    return lookups.longest_prefix_hex(e, "mac", makers, "prefix", "bits", "maker", "unknown", ["event_id"]).groupBy("maker").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {P} SELECT coalesce(CASE WHEN tcp_flags = 2 AND ip_ttl <= 33 AND tcp_win > 500 THEN 'alpha' WHEN tcp_flags = 2 AND ip_ttl <= 34 THEN 'beta' WHEN tcp_flags = 16 AND tcp_win % 13 = 0 AND ip_ttl <= 36 THEN 'gamma' END, 'unknown') AS os, count(*) AS n FROM p GROUP BY ALL""")
+def os_first_rule(spark, d):
+    """Systems by the first rule that flags, time to live, window and its multiple meet."""
+    rules = spark.createDataFrame([(1, 2, 33, 501, 1, "alpha"), (2, 2, 34, 0, 1, "beta"), (3, 16, 36, 0, 13, "gamma")], "no int, flags long, ttl long, least long, multiple long, os string")
+    met = (F.col("tcp_flags") == F.col("flags")) & (F.col("ip_ttl") <= F.col("ttl")) & (F.col("tcp_win") >= F.col("least")) & (F.col("tcp_win") % F.col("multiple") == 0)
+    return lookups.first_rule(packets(spark, d), rules, met, "no", "os", ["pkt_no"]).groupBy(F.coalesce("os", F.lit("unknown")).alias("os")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, CASE WHEN CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) < 858993459 THEN 'test' ELSE 'train' END AS part FROM embeddings")
+def train_test_split(spark, d):
+    return learning.split(table(spark, d, "embeddings").select("vec_id"), "vec_id")

@@ -7,10 +7,11 @@ from pyspark.sql.window import Window
 
 from rillflow.functions import query as q
 from rillflow.functions.dialects import column_filter, display_filter
-from rillflow.operators import lookups, reports
+from rillflow.operators import decoders, lookups, payload, reports
+from rillflow.operators import flows as flow_ops
 from rillflow.operators.reports import outward
 from rillflow.plans.registry import L, P, query
-from rillflow.sources.tables import flows, packets, table
+from rillflow.sources.tables import MESSAGE_SQL, flows, messages, packets, table
 
 _SQL_MEASURE = {"flows": "count(*)", "pkts": "CAST(sum(pkts_snt) AS BIGINT)", "bytes": "CAST(sum(bytes_snt) AS BIGINT)"}
 
@@ -31,22 +32,22 @@ _LABELS = {
 }
 
 
-def _top(kind: str, measure: str) -> None:
+def _top(kind: str, measure: str, span: tuple[str, str] | None = None) -> None:
     name, label, sql, proto, condition = _LABELS[kind]
     where = {"proto": lambda: q.is_any_ip(), "appl": lambda: F.col("dir") == "A"}.get(kind, lambda: None if proto is None else F.col("l4_proto") == proto)
 
     def run(spark, d):
-        return reports.top(flows(spark, d), label(), name, measure, 10, where())
+        return reports.top(flows(spark, d), label(), name, measure, 10, where(), *(F.to_date(F.lit(t)) for t in span or ()))
 
-    run.__doc__ = f"Top {kind} by {measure}."
-    query(f"WITH {L} SELECT {sql} AS {name}, {_SQL_MEASURE[measure]} AS {measure} FROM f WHERE {condition} GROUP BY ALL ORDER BY {measure} DESC, {name} LIMIT 10", f"top_{kind}_{measure}")(run)
+    run.__doc__ = f"Top {kind} by {measure}" + (f" from {span[0]} to {span[1]}." if span else ".")
+    during = f" AND day_first >= DATE '{span[0]}' AND day_first <= DATE '{span[1]}'" if span else ""
+    query(f"WITH {L} SELECT {sql} AS {name}, {_SQL_MEASURE[measure]} AS {measure} FROM f WHERE ({condition}){during} GROUP BY ALL ORDER BY {measure} DESC, {name} LIMIT 10", f"top_{kind}_{measure}" + "_in_time" * bool(span))(run)
 
 
 for _kind in _LABELS:
     for _measure in _SQL_MEASURE:
         _top(_kind, _measure)
-
-_WORDS = "SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en'"
+    _top(_kind, "bytes", ("1995-03-01", "1995-09-30"))
 
 
 def _top_items(name: str, source: str, column: str, pattern: str, sql_item: str) -> None:
@@ -204,8 +205,8 @@ def mon_diff_lag(spark, d):
 
 @query(f"WITH {P}, g AS (SELECT server_ip, (t_us - lag(t_us) OVER (PARTITION BY server_ip ORDER BY t_us, pkt_no)) AS gap FROM p) SELECT server_ip, max(gap) AS widest FROM g GROUP BY ALL")
 def widest_gap(spark, d):
-    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("server_ip").orderBy("t_us", "pkt_no"))
-    return packets(spark, d).withColumn("gap", gap).groupBy("server_ip").agg(F.max("gap").alias("widest"))
+    p = flow_ops.previous(packets(spark, d), ["server_ip"], "t_us", "pkt_no", "t_us", "before")
+    return p.groupBy("server_ip").agg(F.max(F.col("t_us") - F.col("before")).alias("widest"))
 
 
 _top_items("top_dns_answers", "orders", "o_orderstatus", ";", "string_split(coalesce(o_orderstatus, ''), ';')")
@@ -245,3 +246,81 @@ for _measure in _SQL_MEASURE:
 @query(f"WITH {L}, u AS (SELECT src_port AS port, bytes_snt AS b FROM f WHERE (flow_stat & 1) = 0 UNION ALL SELECT dst_port, bytes_snt FROM f WHERE (flow_stat & 1) <> 0) SELECT port, count(*) AS flows, CAST(sum(b) AS BIGINT) AS bytes FROM u GROUP BY ALL")
 def union_all_ab(spark, d):
     return flows(spark, d).groupBy(outward("src_port", "dst_port").alias("port")).agg(F.count("*").alias("flows"), F.sum("bytes_snt").alias("bytes"))
+
+
+@query(f"WITH {L} SELECT flow_ind FROM f WHERE (tcp_anomaly & 4096) <> 0 OR pkts_rcvd = 0 AND (tcp_flags & 2) <> 0")
+def alarm_filter(spark, d):
+    return reports.alarmed(flows(spark, d), q.bits_any("tcp_anomaly", 4096), (F.col("pkts_rcvd") == 0) & q.bits_any("tcp_flags", 2)).select("flow_ind")
+
+
+_PART = "regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', {})"
+
+
+@query(f"WITH u AS (SELECT {_PART.format(2)} AS host, {_PART.format(3)} AS path FROM pages), c AS (SELECT host, path, count(*) AS n FROM u WHERE host <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, path) AS r FROM c) SELECT host, CAST(sum(n) AS BIGINT) AS visits, string_agg(path || ' ' || n, ';' ORDER BY r) FILTER (r <= 10) AS paths FROM r GROUP BY host")
+def hosts_and_urls(spark, d):
+    """Visits of each host, and its ten most visited paths with their visits."""
+    u = payload.url_parts(F.col("url"))
+    c = table(spark, d, "pages").groupBy(u["host"].alias("host"), u["path"].alias("path")).agg(F.count("*").alias("n")).where("host <> ''")
+    r = c.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path")))
+    listed = F.sort_array(F.collect_list(F.when(F.col("r") <= 10, F.struct("r", F.concat_ws(" ", "path", F.col("n").cast("string")).alias("t")))))
+    return r.groupBy("host").agg(F.sum("n").alias("visits"), F.array_join(F.transform(listed, lambda x: x["t"]), ";").alias("paths"))
+
+
+@query(f"WITH u AS (SELECT page_id, {_PART.format(4)} AS q FROM pages), i AS (SELECT page_id, unnest(string_split(q, '&')) AS i FROM u WHERE q <> '') SELECT split_part(i, '=', 1) AS name, count(*) AS n, count(DISTINCT page_id) AS pages, max(split_part(i, '=', 2)) AS greatest FROM i GROUP BY ALL")
+def query_strings(spark, d):
+    """Names of query-string fields with how often they occur, on how many pages, and their greatest value."""
+    i = table(spark, d, "pages").select("page_id", F.explode(F.split(F.nullif(payload.url_parts(F.col("url"))["query"], F.lit("")), "&")).alias("i"))
+    return i.groupBy(F.split_part("i", F.lit("="), F.lit(1)).alias("name")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"), F.max(F.split_part("i", F.lit("="), F.lit(2))).alias("greatest"))
+
+
+_PROGRAM = r"(?i)\.(exe|dll|msi|bat|scr|ps1)\b"
+
+
+@query(f"SELECT pkt_no, regexp_matches(text, '{_PROGRAM}') AS by_name, starts_with(text, 'MZ') AS by_mark FROM (SELECT doc_id AS pkt_no, text FROM documents UNION ALL SELECT page_id, url FROM pages) WHERE regexp_matches(text, '{_PROGRAM}') OR starts_with(text, 'MZ')")
+def program_downloads(spark, d):
+    """Contents and addresses that name a program file or begin with the mark of one."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("pkt_no"), "text").unionByName(table(spark, d, "pages").select(F.col("page_id").alias("pkt_no"), F.col("url").alias("text")))
+    named, marked = F.col("text").rlike(_PROGRAM), F.col("text").startswith("MZ")
+    return rows.where(named | marked).select("pkt_no", named.alias("by_name"), marked.alias("by_mark"))
+
+
+def _header(name: str) -> str:
+    return rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$"
+
+
+#: Decoders over the messages of the event table, and the same fields by DuckDB: a pattern, and what is made of its group.
+_INTEGER = "CAST({} AS INTEGER)"
+_DECODED = {
+    "http": (decoders.http, {
+        "method": (r"^(GET|HEAD|POST|PUT|DELETE|CONNECT|OPTIONS|TRACE|PATCH) ", "{}"), "target": (r"^[A-Z]+ (\S+) HTTP/", "{}"), "status": (r"^HTTP/\d\.\d (\d{3})", _INTEGER),
+        "host": (_header("Host"), "{}"), "agent": (_header("User-Agent"), "{}"), "server": (_header("Server"), "{}"), "mime": (r"(?im)^Content-Type:[ \t]*([^;\r\n]*)", "{}"),
+    }),
+    "mail": (decoders.mail, {
+        "command": (r"(?i)^(HELO|EHLO|MAIL|RCPT|DATA|AUTH|STARTTLS|RSET|VRFY|QUIT|USER|PASS|STAT|LIST|RETR|DELE|TOP|UIDL|APOP)\b", "upper({})"), "code": (r"^(\d{3})[ -]", _INTEGER),
+        "sender": (r"(?i)^MAIL FROM:\s*<([^>]*)>", "{}"), "recipient": (r"(?i)^RCPT TO:\s*<([^>]*)>", "{}"),
+    }),
+    "file_transfer": (decoders.file_transfer, {
+        "command": (r"^([A-Za-z]{3,4})\b", "upper({})"), "code": (r"^(\d{3})[ -]", _INTEGER), "user": (r"(?i)^USER (\S+)", "{}"), "password": (r"(?i)^PASS (\S+)", "{}"),
+        "data_ip": (r"(\d+,\d+,\d+,\d+),\d+,\d+", "replace({}, ',', '.')"), "data_port": (r"\d+,\d+,\d+,\d+,(\d+,\d+)", "CAST(split_part({0}, ',', 1) AS INTEGER) * 256 + CAST(split_part({0}, ',', 2) AS INTEGER)"),
+    }),
+    "secure_shell": (decoders.secure_shell, {"version": (r"^SSH-(\d\.\d+)-", "{}"), "software": (r"^SSH-\d\.\d+-([^\r\n]*)", "{}")}),
+    "chat_relay": (decoders.chat_relay, {"command": (r"^(?::\S+ )?([A-Za-z]+|\d{3})\b", "upper({})"), "nick": (r"(?i)^NICK (\S+)", "{}"), "user": (r"(?i)^USER (\S+)", "{}"), "password": (r"(?i)^PASS (\S+)", "{}")}),
+    "system_log": (decoders.system_log, {"severity": (r"^<(\d{1,3})>", "CAST({} AS INTEGER) & 7"), "facility": (r"^<(\d{1,3})>", "CAST({} AS INTEGER) >> 3")}),
+    "calls": (decoders.calls, {"method": (r"^([A-Z]+) sip:", "{}"), "status": (r"^SIP/2\.0 (\d{3})", _INTEGER), "call_id": (r"(?im)^Call-ID:\s*(\S+)", "{}")}),
+}
+
+
+def _decode(kind: str) -> None:
+    decoder, fields = _DECODED[kind]
+    found = lambda pattern: f"nullif(regexp_extract(text, '{pattern}', 1), '')"
+    columns = ", ".join(f"{form.format(found(pattern))} AS {name}" for name, (pattern, form) in fields.items())
+
+    def run(spark, d):
+        return messages(spark, d).select("pkt_no", *(c.alias(n) for n, c in decoder(F.col("text")).items()))
+
+    run.__doc__ = f"Fields of {kind} messages."
+    query(f"WITH m AS ({MESSAGE_SQL}) SELECT pkt_no, {columns} FROM m", f"decode_{kind}")(run)
+
+
+for _kind in _DECODED:
+    _decode(_kind)

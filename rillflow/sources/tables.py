@@ -36,6 +36,20 @@ FLOW_SQL = """
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey
          JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey"""
 
+#: A line ending in both dialects.
+_END = "chr(13) || chr(10)"
+MESSAGE_SQL = f"""
+    SELECT event_id AS pkt_no, CASE event_id % 16
+        WHEN 0 THEN 'GET /' || event_type || '/' || user_id || ' HTTP/1.1' || {_END} || 'Host: h' || user_id % 7 || '.example.org' || {_END} || 'User-Agent: agent/' || user_id % 5 || {_END} || {_END}
+        WHEN 1 THEN 'HTTP/1.1 ' || (200 + user_id % 300) || ' X' || {_END} || 'Server: s' || user_id % 3 || ' ' || {_END} || 'Content-Type: text/' || event_type || '; charset=utf-8' || {_END} || {_END}
+        WHEN 2 THEN 'POST /p?q=' || user_id || ' HTTP/1.0' || {_END} || 'host:h.example.net' || {_END} || {_END} || 'x=1'
+        WHEN 3 THEN 'MAIL FROM:<u' || user_id || '@example.org>' || {_END} WHEN 4 THEN 'rcpt to: <u' || user_id || '@example.com>' || {_END} WHEN 5 THEN (220 + user_id % 9) || ' ready' || {_END}
+        WHEN 6 THEN 'USER u' || user_id || {_END} WHEN 7 THEN 'PASS p' || event_id || {_END} WHEN 8 THEN 'PORT 10,0,' || user_id % 250 || ',7,' || user_id % 200 || ',' || event_id % 256 || {_END}
+        WHEN 9 THEN 'SSH-2.0-Shell_' || user_id % 9 || {_END} WHEN 10 THEN ':srv NICK n' || user_id || {_END} WHEN 11 THEN 'NICK n' || user_id || {_END}
+        WHEN 12 THEN '<' || user_id % 192 || '>host: ' || event_type WHEN 13 THEN 'INVITE sip:u@example.org SIP/2.0' || {_END} || 'Call-ID: c' || event_id || {_END}
+        WHEN 14 THEN 'SIP/2.0 ' || (180 + user_id % 20) || ' OK' || {_END} || 'CALL-ID:  d' || event_id || {_END} ELSE props END AS text
+    FROM events"""
+
 PACKET_SQL = _PACKETS.format(micros="epoch_us(ts)")
 
 
@@ -50,6 +64,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, _PACKETS.format(micros="unix_micros(CAST(ts AS TIMESTAMP))"), "events")
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text message of some protocol for each event."""
+    return _view(spark, sf_dir, MESSAGE_SQL, "events")
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flow for each line of an order."""
     return _view(spark, sf_dir, FLOW_SQL, "lineitem", "orders", "supplier", "nation", "customer")

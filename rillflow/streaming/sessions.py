@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rillflow.types import FLOW_TIMEOUT
 
@@ -65,11 +66,27 @@ def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
     return flows.select("key", F.col("f.first").alias("t_first"), F.col("f.last").alias("t_last"), F.col("f.pkts").alias("pkts"), F.col("f.total").alias("bytes"))
 
 
-def run_available(spark: SparkSession, out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming frame over all that is available, into a table at ``path``, and reads it."""
-    if mode == "append":
-        writer = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    else:
-        writer = out.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(path))
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The intervals that ``monitoring`` still holds in its state when its input has ended."""
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(F.col("key.window.start").alias("t"), F.col("value.count").alias("pkts"), F.col("value.sum").alias("bytes"))
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, key: list[str]) -> DataFrame:
+    """The sessions that ``session_windows`` still holds in its state when its input has ended."""
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(*(F.col(f"key.{k}").alias(k) for k in key), F.col("value.session_window.start").alias("t_first"), F.col("value.count").alias("pkts"), F.col("value.sum").alias("bytes"))
+
+
+def run_available(spark: SparkSession, out: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming frame over all that is available, appending what is complete to a table at ``path``, and reads it."""
+    writer = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(path)
+
+
+def time_jumps(packets: DataFrame, key: list[str], time_us: str, arrival: str) -> DataFrame:
+    """Packets whose time lies before that of a packet that arrived earlier, by key: how many, and how far back at most."""
+    w = Window.partitionBy(*key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    back = F.greatest(F.max(time_us).over(w) - F.col(time_us), F.lit(0))
+    return packets.withColumn("__back", F.coalesce(back, F.lit(0))).groupBy(*key).agg(F.sum(F.when(F.col("__back") > 0, 1).otherwise(0)).alias("jumps"), F.max("__back").alias("farthest"))
