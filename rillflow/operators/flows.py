@@ -113,3 +113,26 @@ def running_variance(packets: DataFrame, key: Sequence[str], column: str, *order
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     off = packets.withColumn("__m", F.avg(column).over(w))
     return off.groupBy(*key).agg(F.round(F.avg((F.col(column) - F.col("__m")) * (F.col(column) - F.col("__m"))), 4).alias("run_var"))
+
+
+def features(sessions: DataFrame, key: Sequence[str], time_us: str = "t_us", order: str = "pkt_no", bands: Sequence[int] = (32, 64, 128)) -> DataFrame:
+    """Many features of each flow in one window and one grouping, which share a partitioning by the leading key column.
+
+    Packets and bytes by direction and their asymmetries, times, sizes and their histogram in bands, gaps,
+    flag bits and counts, ranges of time to live and window.
+    """
+    gap = (F.col(time_us) - F.lag(time_us).over(Window.partitionBy(*key).orderBy(time_us, order))) / MICRO
+    rows = sessions.withColumn("__gap", F.coalesce(gap, F.lit(0.0)))
+    way = lambda w, v: F.sum(F.when(F.col("way") == w, v).otherwise(0))
+    flag = lambda bit: F.sum(F.when(F.col("tcp_flags").bitwiseAND(bit) != 0, 1).otherwise(0))
+    edges = [None, *bands, None]
+    inside = lambda a, b: (F.col("len") >= a if a is not None else F.lit(True)) & (F.col("len") < b if b is not None else F.lit(True))
+    out = rows.groupBy(*key).agg(
+        way("A", F.lit(1)).alias("pkts_a"), way("B", F.lit(1)).alias("pkts_b"), way("A", F.col("len")).alias("bytes_a"), way("B", F.col("len")).alias("bytes_b"),
+        F.min(time_us).alias("t_first"), F.max(time_us).alias("t_last"), F.min("len").alias("len_min"), F.max("len").alias("len_max"), F.round(F.avg("len"), 4).alias("len_mean"), F.round(F.stddev_pop("len"), 4).alias("len_std"),
+        F.max("__gap").alias("gap_max"), ((F.max(time_us) - F.min(time_us)) / F.count("*")).alias("gap_mean_us"), F.bit_or("tcp_flags").alias("flags"), flag(2).alias("syns"), flag(1).alias("fins"), flag(4).alias("resets"),
+        F.min("ip_ttl").alias("ttl_min"), F.max("ip_ttl").alias("ttl_max"), F.min("tcp_win").alias("win_min"), F.max("tcp_win").alias("win_max"),
+        *(F.sum(F.when(inside(a, b), 1).otherwise(0)).alias(f"band{i}") for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))),
+    )
+    asymmetry = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.round((F.col(a) - F.col(b)) / (F.col(a) + F.col(b)), 6)).otherwise(0.0)
+    return out.withColumns({"pkts_asym": asymmetry("pkts_a", "pkts_b"), "bytes_asym": asymmetry("bytes_a", "bytes_b")})

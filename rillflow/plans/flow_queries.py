@@ -34,6 +34,18 @@ def flow_duration_rates(spark, d):
     return flows.rates(flow_sessions(spark, d)).select("user_id", "session", "pktps", "bytps")
 
 
+_COUNT = ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in (("pkts_a", "way = 'A'"), ("pkts_b", "way = 'B'"), ("syns", "(tcp_flags & 2) <> 0"), ("fins", "(tcp_flags & 1) <> 0"), ("resets", "(tcp_flags & 4) <> 0"), ("band0", "len < 32"), ("band1", "len BETWEEN 32 AND 63"), ("band2", "len BETWEEN 64 AND 127"), ("band3", "len >= 128")))
+
+
+@query(f"""WITH {S}, i AS (SELECT *, coalesce((t_us - lag(t_us) OVER (PARTITION BY user_id, session ORDER BY t_us, pkt_no)) / 1000000.0e0, 0.0e0) AS gap FROM s),
+    a AS (SELECT user_id, session, {_COUNT}, CAST(coalesce(sum(len) FILTER (way = 'A'), 0) AS BIGINT) AS bytes_a, CAST(coalesce(sum(len) FILTER (way = 'B'), 0) AS BIGINT) AS bytes_b, min(t_us) AS t_first, max(t_us) AS t_last,
+          min(len) AS len_min, max(len) AS len_max, round(avg(len), 4) AS len_mean, round(stddev_pop(len), 4) AS len_std, max(gap) AS gap_max, (max(t_us) - min(t_us)) / count(*) AS gap_mean_us, bit_or(tcp_flags) AS flags,
+          min(ip_ttl) AS ttl_min, max(ip_ttl) AS ttl_max, min(tcp_win) AS win_min, max(tcp_win) AS win_max FROM i GROUP BY user_id, session)
+    SELECT *, CASE WHEN pkts_a + pkts_b > 0 THEN round((pkts_a - pkts_b) / (pkts_a + pkts_b), 6) ELSE 0.0e0 END AS pkts_asym, CASE WHEN bytes_a + bytes_b > 0 THEN round((bytes_a - bytes_b) / (bytes_a + bytes_b), 6) ELSE 0.0e0 END AS bytes_asym FROM a""")
+def flow_features(spark, d):
+    return flows.features(sessions(spark, d), ["user_id", "session"])
+
+
 @query(f"WITH {S} SELECT user_id, session, arg_min(way, struct_pack(t := t_us, n := pkt_no)) AS first_way, CAST(max(CASE WHEN way = 'B' THEN 1 ELSE 0 END) AS INTEGER) AS answered FROM s GROUP BY ALL")
 def flow_direction_ab(spark, d):
     return sessions(spark, d).groupBy("user_id", "session").agg(F.min_by("way", F.struct("t_us", "pkt_no")).alias("first_way"), F.max(F.when(F.col("way") == "B", 1).otherwise(0)).alias("answered"))
