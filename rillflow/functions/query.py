@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.types import FLOW_STATUS, PROTOCOLS
+from rillflow.types import FLOW_STATUS, PROTOCOLS, TCP_FLAGS
 
 Value = Column | str
 
@@ -292,3 +292,133 @@ SHORT_NAMES = {
 
 def short_fields(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(SHORT_NAMES[n]().alias(n) for n in names))
+
+
+# Numbers, choice and parts ------------------------------------------------------------------------------------
+
+
+def largest(*values: Value) -> Column:
+    """The greatest of two or more values; nulls don't count."""
+    return F.greatest(*map(_c, values))
+
+
+def smallest(*values: Value) -> Column:
+    return F.least(*map(_c, values))
+
+
+def negated(condition: Column) -> Column:
+    """True where the condition is false or unknown."""
+    return ~F.coalesce(condition, F.lit(False))
+
+
+def column_summary(df: DataFrame, column: str) -> DataFrame:
+    """Least, greatest and mean value of a column."""
+    return df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 6).alias("mean"))
+
+
+def numbered(df: DataFrame, column: str, wanted: Iterable[int | str] | DataFrame) -> DataFrame:
+    """The flows or packets of these numbers or ``"low-high"`` ranges, or of those in a table of one column of numbers (a semi-join)."""
+    if isinstance(wanted, DataFrame):
+        return df.join(wanted.select(F.col(f"`{wanted.columns[0]}`").alias(column)), column, "left_semi")
+    return df.where(any_of(column, wanted))
+
+
+def split_parts(v: Value, separator: str, first: int = 1, last: int | None = None, joined_by: str | None = None) -> Column:
+    """The parts from ``first`` to ``last`` of a value (from 1; negative: from the end), joined by the same or another separator."""
+    parts = F.split(_c(v), re.escape(separator))
+    place = lambda n: F.lit(n) if n > 0 else F.size(parts) + n + 1
+    a, b = F.greatest(place(first), F.lit(1)), F.least(place(first if last is None else last), F.size(parts))
+    return F.array_join(F.slice(parts, a, F.greatest(b - a + 1, F.lit(0))), separator if joined_by is None else joined_by)
+
+
+def compound(v: Value, n: int) -> Column:
+    """The n-th part of a compound value."""
+    return split_parts(v, "_", n)
+
+
+def repetition(v: Value, n: int) -> Column:
+    """The n-th item of a repetitive value."""
+    return split_parts(v, ";", n)
+
+
+# Times --------------------------------------------------------------------------------------------------------
+
+
+def local_text(us: Value, zone: str) -> Column:
+    """Microseconds since 1970 as text in ``zone``; the session's own zone must be UTC."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_micros(_c(us)), zone), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def unix_micros(text: Value) -> Column:
+    """Microseconds since 1970 of a UTC time text; null where it isn't one."""
+    return F.unix_micros(F.try_to_timestamp(_c(text)))
+
+
+# Masks and hardware addresses ---------------------------------------------------------------------------------
+
+
+def mask_text(bits: int) -> str:
+    """A network mask as an IPv4 address."""
+    n = mask_number(bits)
+    return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+
+
+def mask6_text(bits: int) -> str:
+    """A network mask as an IPv6 address, all eight groups."""
+    n = (1 << 128) - (1 << (128 - bits))
+    return ":".join(f"{n >> s & 0xFFFF:04x}" for s in range(112, -1, -16))
+
+
+def flags_text(flags: Value) -> Column:
+    """Letters of the set TCP flags, highest bit first, a dot for each that isn't set."""
+    return F.concat(*(F.when(bits_any(flags, bit), F.lit(c)).otherwise(F.lit(".")) for c, bit in reversed(TCP_FLAGS.items())))
+
+
+def in_net6(expanded: Value, net: str, bits: int) -> Column:
+    """Whether an expanded IPv6 address lies in a subnet, by its leading digits; a prefix may end within a digit."""
+    import ipaddress
+
+    digits, (whole, rest) = F.replace(F.lower(_c(expanded)), F.lit(":"), F.lit("")), divmod(bits, 4)
+    wanted = f"{int(ipaddress.IPv6Address(net)):032x}"
+    same = F.substring(digits, 1, whole) == wanted[:whole] if whole else F.lit(True)
+    if rest:
+        low = int(wanted[whole], 16) >> (4 - rest) << (4 - rest)
+        same &= F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int").between(low, low + (1 << (4 - rest)) - 1)
+    return same
+
+
+def ether(mac: str, src: str = "src_mac", dst: str = "dst_mac", side: str = "any") -> Column:
+    """Whether a hardware address, in either spelling of case, is among the source, destination or any addresses of a flow (arrays)."""
+    held = lambda c: F.exists(F.coalesce(_c(c), F.array()), lambda x: F.lower(x) == mac.lower())
+    return {"src": held(src), "dst": held(dst), "any": held(src) | held(dst)}[side]
+
+
+def has_status(column: str, unless: int = 0) -> Column:
+    """Whether a decoder left a status other than 0 (HTTP, DHCP), without any of the bits ``unless`` (DNS without name service)."""
+    found = F.coalesce(_c(column), F.lit(0))
+    return (found != 0) & (found.bitwiseAND(unless) == 0)
+
+
+def tuple6(vlan: str = "vlan") -> Column:
+    """The 5-tuple with the innermost tag of the flow's network."""
+    return F.struct("src_ip", "src_port", "dst_ip", "dst_port", "l4_proto", F.col(vlan))
+
+
+SHORT_NAMES |= {f"mpls{n}": (lambda n=n: F.try_element_at("mpls", F.lit(n))) for n in range(1, 11)}
+_MOMENT = "yyyy-MM-dd HH:mm:ss.SSS"
+SHORT_NAMES |= {
+    "mpls": lambda: F.array_join("mpls", "-"), "byt": lambda: F.col("bytes_rcvd"), "pkt": lambda: F.col("pkts_rcvd"), "flg": lambda: flags_text(F.col("tcp_flags")),
+    "ts": lambda: F.date_format(F.timestamp_micros("t_first"), _MOMENT), "te": lambda: F.date_format(F.timestamp_micros("t_last"), _MOMENT),
+}
+
+#: The other dialect's output formats, as lists of its fields.
+FORMATS = {
+    "line": ("ts", "td", "pr", "sap", "dap", "pkt", "byt"),
+    "long": ("ts", "td", "pr", "sap", "dap", "flg", "pkt", "byt"),
+    "extended": ("ts", "td", "pr", "sap", "dap", "flg", "pkt", "byt", "pps", "bps", "bpp"),
+}
+
+
+def formatted(df: DataFrame, name: str) -> DataFrame:
+    """Flows in one of the output formats; times are UTC texts if the session's zone is UTC."""
+    return short_fields(df, *FORMATS[name])

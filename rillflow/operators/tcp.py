@@ -9,17 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillflow.functions.query import flags_text as flags_text
 from rillflow.operators.folds import Fold, ordered_fold
 from rillflow.types import STATE_TIMEOUT, TCP_FLAGS
 
 FIN, SYN, RST, ACK = TCP_FLAGS["F"], TCP_FLAGS["S"], TCP_FLAGS["R"], TCP_FLAGS["A"]
 
 
-def flags_text(flags: Column) -> Column:
-    """Letters of the set flags, highest bit first, a dot for each that isn't set."""
-    return F.concat(*(F.when(flags.bitwiseAND(bit) != 0, F.lit(c)).otherwise(F.lit(".")) for c, bit in reversed(TCP_FLAGS.items())))
-
-
 def bits(column: Column, mask: int, every: bool) -> Column:
     """All or any of the mask's bits."""
     masked = column.bitwiseAND(F.lit(mask))

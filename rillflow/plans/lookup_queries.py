@@ -233,3 +233,16 @@ def os_first_rule(spark, d):
 @query("SELECT vec_id, CASE WHEN CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) < 858993459 THEN 'test' ELSE 'train' END AS part FROM embeddings")
 def train_test_split(spark, d):
     return learning.split(table(spark, d, "embeddings").select("vec_id"), "vec_id")
+
+
+@query(f"""WITH {L}, t AS (SELECT *, src_ip || '_' || dst_port || '_' || appl AS c, src_cc || ';' || dst_cc AS r FROM f)
+    SELECT flow_ind, greatest(pkts_snt, pkts_rcvd, tcp_flags) AS top, least(bytes_snt, bytes_rcvd) AS low, NOT (l4_proto = 6) AS other, split_part(c, '_', 2) AS second, split_part(r, ';', -1) AS last, split_part(c, '_', 1) || ':' || split_part(c, '_', 2) AS endpoint,
+           strftime(to_timestamp(flow_ind) AT TIME ZONE 'UTC' + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') || '.000000' AS local, flow_ind * 1000000 AS us, flow_stat <> 0 AS has_ip,
+           CAST('0x' || substr(md5(src_ip), 1, 2) AS INTEGER) & 254 = 34 AS in6 FROM t WHERE flow_ind BETWEEN 100 AND 5000 OR flow_ind = 17""")
+def query_functions_parts(spark, d):
+    """Choice, parts, times, masks and numbers of flows in ranges."""
+    t = q.numbered(flows(spark, d), "flow_ind", ["100-5000", 17]).withColumns({"c": F.concat_ws("_", "src_ip", F.col("dst_port").cast("string"), "appl"), "r": F.concat_ws(";", "src_cc", "dst_cc"), "us": F.col("flow_ind") * 1_000_000})
+    return t.select(
+        "flow_ind", q.largest("pkts_snt", "pkts_rcvd", "tcp_flags").alias("top"), q.smallest("bytes_snt", "bytes_rcvd").alias("low"), q.negated(q.protocol("TCP")).alias("other"), q.compound("c", 2).alias("second"), q.repetition("r", -1).alias("last"),
+        q.split_parts("c", "_", 1, 2, ":").alias("endpoint"), q.local_text("us", "+02:00").alias("local"), q.unix_micros(q.utc_text("us")).alias("us"), q.has_status("flow_stat").alias("has_ip"), q.in_net6(F.md5("src_ip"), "2200::", 7).alias("in6"),
+    )

@@ -324,3 +324,11 @@ def _decode(kind: str) -> None:
 
 for _kind in _DECODED:
     _decode(_kind)
+
+
+@query(f"""WITH {L} SELECT strftime(to_timestamp(flow_ind) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') || '.000' AS ts, duration AS td, CASE l4_proto WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'ICMP' END AS pr, src_ip || ':' || src_port AS sap, dst_ip || ':' || dst_port AS dap,
+    {" || ".join(f"CASE WHEN (tcp_flags & {b}) <> 0 THEN '{c}' ELSE '.' END" for c, b in (("C", 128), ("E", 64), ("U", 32), ("A", 16), ("P", 8), ("R", 4), ("S", 2), ("F", 1)))} AS flg, pkts_rcvd AS pkt, bytes_rcvd AS byt,
+    CASE WHEN duration > 0 THEN pkts_snt / duration ELSE 0.0e0 END AS pps, CASE WHEN duration > 0 THEN 8 * bytes_snt / duration ELSE 0.0e0 END AS bps, CASE WHEN pkts_snt > 0 THEN bytes_snt / pkts_snt ELSE 0.0e0 END AS bpp FROM f""")
+def extended_format(spark, d):
+    """Flows in the extended output format; their number stands for their second."""
+    return q.formatted(flows(spark, d).withColumn("t_first", F.col("flow_ind") * 1_000_000), "extended")

@@ -243,3 +243,21 @@ def test_nearest_labels_of_equal_vectors_by_id(spark):
 
     rows = spark.createDataFrame([(i, [0.0, 1.0], 1 if i <= 3 else 2) for i in range(40, 0, -1)] + [(100, [0.0, 1.0], 9)], "vec_id long, embedding array<double>, label int").coalesce(1)
     assert nearest_labels(rows, rows.where("vec_id = 100"), 5).first().predicted == 1
+
+
+def test_masks_addresses_and_parts(spark):
+    assert q.mask_text(20) == "255.255.240.0" and q.mask6_text(36) == "ffff:ffff:f000:0000:0000:0000:0000:0000" and q.mask6_text(0) == ":".join(["0000"] * 8)
+    df = spark.createDataFrame([(["aa:BB", "cc:dd"], ["ee:ff"], "a_b_c", [7, 8], 5), (None, [], "", None, None)], "src_mac array<string>, dst_mac array<string>, v string, mpls array<int>, stat int")
+    got = df.select(q.ether("AA:bb").alias("any"), q.ether("ee:ff", side="src").alias("src"), q.ether("ee:ff", side="dst").alias("dst"), q.split_parts("v", "_", -2, -1).alias("p"), q.split_parts("v", "_", 9).alias("none"), q.SHORT_NAMES["mpls2"]().alias("m"), q.has_status("stat", 2).alias("s"), q.has_status("stat", 4).alias("t")).collect()
+    assert [tuple(r) for r in got] == [(True, False, True, "b_c", "", 8, True, False), (False, False, False, "", "", None, False, False)]
+    assert q.numbered(spark.range(10), "id", spark.range(3)).count() == 3
+    assert tuple(q.column_summary(spark.range(5), "id").first()) == (0, 4, 2.0)
+
+
+def test_a_report_reads_its_days_alone(spark, tmp_path):
+    from rillflow.sources.files import write_by_day
+
+    write_by_day(spark.range(10).selectExpr("id", "id * 86400000000 AS t_us"), str(tmp_path / "days"), "t_us")
+    days = reports.within(spark.read.parquet(str(tmp_path / "days")), "1970-01-03", "1970-01-05", "day", "day")
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert days.count() == 3 and "PartitionFilters: [isnotnull(day" in plan
