@@ -50,6 +50,37 @@ MESSAGE_SQL = f"""
         WHEN 14 THEN 'SIP/2.0 ' || (180 + user_id % 20) || ' OK' || {_END} || 'CALL-ID:  d' || event_id || {_END} ELSE props END AS text
     FROM events"""
 
+
+
+def _hex(number: str, size: int) -> str:
+    return f"lpad(hex({number}), {2 * size}, '0')"
+
+
+def _string(text: str, extra: int = 0) -> str:
+    """Length in a byte, and the text."""
+    return f"{_hex(f'length({text}) + {extra}', 1)} || hex({text})"
+
+
+_U, _E = "user_id", "event_id"
+_GROUP = f"(CASE {_E} % 5 WHEN 0 THEN 17 WHEN 1 THEN 18 WHEN 2 THEN 22 ELSE 23 END * 256 + {_U} % 10 + 57344 + {_U} % 65536)"
+_GROUP_SUM = f"(65535 - ({_GROUP} % 65536 + CAST(floor({_GROUP} / 65536) AS BIGINT)) + {_E} % 2) % 65536"
+_KINDS = [
+    f"{_hex(f'{_U} % 4 * 64 + (3 + {_U} % 2) * 8 + {_E} % 5 + 1', 1)} || {_hex(f'{_E} % 16', 1)} || '06EC' || {_hex(f'{_U} * 7 + {_E} % 1000', 4)} || {_hex(f'{_E} % 65536', 4)} || {_hex(f'3232235520 + {_U} % 256', 4)} || " + " || ".join(f"{_hex(f'3900000000 + {_U} + {i}', 4)} || {_hex(f'{_E} % 2 * 2147483648', 4)}" for i in range(4)),
+    f"{_hex(f'CASE {_E} % 5 WHEN 0 THEN 17 WHEN 1 THEN 18 WHEN 2 THEN 22 ELSE 23 END', 1)} || {_hex(f'{_U} % 10', 1)} || {_hex(_GROUP_SUM, 2)} || 'E000' || {_hex(f'{_U} % 65536', 2)}",
+    f"'02' || {_hex(f'{_E} % 5 + 1', 1)} || '0018' || {_hex(f'167772160 + {_U}', 4)} || {_hex(f'{_U} % 7', 4)} || '0000' || {_hex(f'{_E} % 3', 2)} || repeat('00', 8)",
+    f"'000002' || CASE {_E} % 5 WHEN 0 THEN '80' ELSE '02' || {_hex(f'{_U} % 256', 1)} || '8001' || {_hex(_U, 6)} || {_hex(f'{_E} % 1000', 4)} || {_hex(f'32768 + {_U} % 16', 2)} || {_hex(_E, 6)} || {_hex(f'32768 + {_U} % 200', 2)} || '0100140002000F00' END",
+    f"'0B590B590000000000000000' || CASE {_E} % 5 WHEN 0 THEN '01000014' || '00000001' || {_hex(f'{_U} * 10 + {_E} % 100', 4)} || '0001000100000001' ELSE '00' || {_hex(f'{_E} % 8', 1)} || '0013' || '00000001' || {_hex(f'{_U} % 32', 2)} || '00000000003CABCDEF00' || '03000010' || '00000002' || {_hex(f'{_E} % 100000', 4)} || '00000000' END",
+    f"{_hex(f'{_E} % 5 + 1', 2)} || CASE WHEN {_E} % 5 < 2 THEN hex('f' || {_U} || '.bin') || '00' || hex('Octet') || '00' WHEN {_E} % 5 < 4 THEN {_hex(f'{_U} % 65536', 2)} ELSE {_hex(f'{_U} % 8', 2)} || hex('no') || '00' END",
+    f"{_hex(f'{_E} % 5 + 1', 1)} || {_hex(f'{_E} % 256', 1)} || '0000' || repeat('00', 16) || '01' || {_string(f"('u' || {_U})", 2)} || '0406' || {_hex(f'167772160 + {_U} % 256', 4)} || '0806' || {_hex(f'2886729728 + {_U}', 4)} || '2806' || {_hex(f'{_E} % 3 + 1', 4)} || '2A06' || {_hex(f'{_E} % 100000', 4)}",
+    f"CASE {_E} % 5 WHEN 0 THEN '0001' WHEN 1 THEN '0111' WHEN 2 THEN '0103' ELSE '0101' END || '0024' || '2112A442' || repeat('01', 12) || '00060003' || hex('abc') || '00' || '002000080001' || {_hex(f'{_U} % 65536', 2)} || {_hex(f'{_U} + 553820160', 4)} || '000900040000' || '04' || {_hex(f'{_U} % 100', 1)}",
+    f"'30' || {_hex(f"8 + length('c' || {_U})", 1)} || '0201' || {_hex(f'{_E} % 2', 1)} || '04' || {_string(f"('c' || {_U})")} || 'A' || {_E} % 5 || '00'",
+    f"'020704' || {_hex(_U, 6)} || '04' || {_hex(f"1 + length('p' || {_U})", 1)} || '05' || hex('p' || {_U}) || '06020078' || '0A' || {_string(f"('sw' || {_U})")} || '0E04' || {_hex(f'{_U} % 2048', 2)} || {_hex(f'{_U} % 16', 2)} || '0000'",
+    f"'02B40000' || '000100' || {_string(f"('dev' || {_U})", 4)} || '000300' || {_string(f"('eth' || {_U} % 48)", 4)} || '00040008' || {_hex(f'{_U} % 128', 4)} || '000A0006' || {_hex(f'{_U} % 4095', 2)} || '000B0005' || {_hex(f'{_E} % 2', 1)}",
+    f"'FFFB' || {_hex(f'{_U} % 40', 1)} || 'FFFD03' || 'FFFA18' || '01' || 'FFF0' || hex('ls ' || {_U}) || '0D0A'",
+]
+#: Hexadecimal frames of twelve binary protocols, by ``kind``.
+FRAME_SQL = f"SELECT event_id, user_id, event_id % 12 AS kind, CASE event_id % 12 {' '.join(f'WHEN {i} THEN {k}' for i, k in enumerate(_KINDS))} END AS frame FROM events"
+
 PACKET_SQL = _PACKETS.format(micros="epoch_us(ts)")
 
 
@@ -69,6 +100,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, MESSAGE_SQL, "events")
 
 
+def frames(spark: SparkSession, sf_dir: str, kind: int) -> DataFrame:
+    """A binary message for each event of a kind: event_id, user_id, payload."""
+    return _view(spark, sf_dir, FRAME_SQL, "events").where(f"kind = {kind}").selectExpr("event_id", "user_id", "unhex(frame) AS payload")
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flow for each line of an order."""
     return _view(spark, sf_dir, FLOW_SQL, "lineitem", "orders", "supplier", "nation", "customer")
