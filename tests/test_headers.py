@@ -64,3 +64,9 @@ def test_stream_transport_without_windows(spark):
     assert (out[1].pkts, out[1].types, out[1].smoothed) == (1, 0, None)
     assert (out[2].data, out[2].types, out[2].flags, out[2].stream, out[2].least) == (1, 1, 3, 5, None)
     assert (out[3].pkts, out[3].types) == (1, 0)
+
+
+def test_access_addresses_beyond_a_block(spark):
+    """The four bytes of a framed address are read as they are: 172.16.0.0 and 65,998 more is 172.17.1.206."""
+    message = bytes.fromhex("03DA0000" + "00" * 16 + "0806") + (2886729728 + 65998).to_bytes(4, "big")
+    assert headers.fields(rows(spark, message), headers.access, ["framed"]).head().framed == "172.17.1.206"
