@@ -14,13 +14,12 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rillflow.llm.common import id_and_text, tokenizer_file
+from rillflow.llm.common import hold, id_and_text, tokenizer_file
 
 #: Fragments that a Python worker remembers, and the longest of them.
 MEMORY, MEMORY_CHARS = 300_000, 48
@@ -109,10 +108,9 @@ class _Memory(dict):
         return ids
 
 
-@lru_cache(maxsize=4)
 def encoder(name: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    return Encoder(tokenizer_file(name))
+    """One encoder in a Python worker, until another operator works there."""
+    return hold(f"bpe {name}", lambda: Encoder(tokenizer_file(name)))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", with_ids: bool = False) -> DataFrame:

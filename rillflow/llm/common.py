@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +50,40 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Bytes of a batch of rows on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+#: What one operator keeps in this Python worker between its tasks.
+_held: dict[str, Any] = {}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; batches that its session sends to Python workers hold at most ``BATCH_BYTES`` from now on, and one row more."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = str(conf.get(name)).lower().removesuffix("b")
+    if not kept.isdigit() or not 0 < int(kept) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def release() -> None:
+    """Gives up what operators keep in this Python worker, and gives back to the machine what its allocators keep."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def hold(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker until another operator works there, so that their tables never add up."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
 #: Keys that a filter is made for at most, bits of a key, and bits of one of its bitmaps: 32 MB in all.
 FILTER_KEYS, KEY_BITS, BITMAP = 16_000_000, 16, 32_768
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.bpe import encoder
-from rillflow.llm.common import id_and_text, keep, tasks_for
+from rillflow.llm.common import bounded_batches, id_and_text, keep, tasks_for
 
 #: Pieces that are packed together.
 SHARD = 40_000
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                     deal += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 1 else pa.int64()) for i in range(6)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
-    return id_and_text(docs).mapInArrow(run, PIECES_SCHEMA)
+    return id_and_text(bounded_batches(docs)).mapInArrow(run, PIECES_SCHEMA)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,14 +11,13 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import id_and_text
+from rillflow.llm.common import bounded_batches, hold, id_and_text
 
 #: In the order in which spans of the same start are listed.
 KINDS = ("assign", "access", "hex", "checked")
@@ -34,8 +33,12 @@ _CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A
 _TO_LOWER = dict(zip(map(ord, string.ascii_uppercase), string.ascii_lowercase, strict=True))
 
 
-@cache
 def _automaton():
+    """The keywords' automaton, one in a Python worker until another operator works there."""
+    return hold("secrets", _build)
+
+
+def _build():
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -44,8 +47,9 @@ def _automaton():
     a.add_word("akia", ("access", 4))
     for prefix in CHECKED_PREFIXES:
         a.add_word(prefix, ("checked", 4))
+    hexadecimal = ("hex", 4)
     for digits in product("0123456789abcdef", repeat=4):
-        a.add_word("".join(digits), ("hex", 4))
+        a.add_word("".join(digits), hexadecimal)
     a.make_automaton()
     return a
 
@@ -134,7 +138,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def clean(texts):
         return texts.map(lambda t: t if t is None else redact(t, spans, mark) if (spans := scan(t)) else t)
 
-    new = docs.withColumn("__rf_text", clean("text"))
+    new = bounded_batches(docs).withColumn("__rf_text", clean("text"))
     changed = ~F.col("__rf_text").eqNullSafe(F.col("text"))
     cols = [F.col("__rf_text").alias("text") if c == "text" else F.when(changed, F.length("__rf_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
     return new.select(*cols)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import id_and_text, keep, keep_rows
+from rillflow.llm.common import bounded_batches, id_and_text, keep, keep_rows, release
 from rillflow.llm.components import components
 from rillflow.llm.links import bounds, forest, pairs_of_short_runs, runs, spanning
 
@@ -49,12 +49,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, digests: boo
     """``doc_id, fp`` (the 64 bits as a signed long) for every row; whole texts, null counting as empty. ``digests`` adds the text's SHA-256 and ``h``, a hash of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             others = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(fp)], names=[*others, "fp"])
 
-    rows = id_and_text(docs)
+    rows = id_and_text(bounded_batches(docs))
     if digests:
         return rows.select("*", F.sha2("text", 256).alias("digest"), F.xxhash64("doc_id", "text").alias("h")).mapInArrow(run, "doc_id long, digest string, h long, fp long")
     return rows.mapInArrow(run, "doc_id long, fp long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import id_and_text, keep
+from rillflow.llm.common import bounded_batches, id_and_text, keep, release
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their ids.
 TRAIN_ROWS = 20_000
@@ -172,6 +172,7 @@ class Scorer:
     """Counts a text's hits by kind of window."""
 
     def __init__(self, model: Model):
+        release()
         self.model, self.automata = model, [Automaton(entries) for entries in (model.lexicon, model.doubtful, model.weak)]
         self.memory: dict[str, int] = {}
 
@@ -333,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     ``used`` of the model tells the labelled rows of each part. Without toxic labels the lexicon is empty and
     every score is near zero.
     """
-    sample = keep(labelled_sample(docs, labels, train_rows), "labelled")
+    sample = keep(labelled_sample(bounded_batches(docs), labels, train_rows), "labelled")
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))
     first, second = sample.where(part < 2), sample.where(part == 2)
     model = Model(*learn_lexicon(first))
