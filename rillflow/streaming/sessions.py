@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,27 @@ def monitoring(stream: DataFrame, time: str, interval: str, size: str, late: str
     return stream.withWatermark(time, late).groupBy(F.window(time, interval).alias("w")).agg(F.count("*").alias("pkts"), F.sum(size).alias("bytes")).select(F.col("w.start").alias("t"), "pkts", "bytes")
 
 
+def grown(flows: list[tuple], t: np.ndarray, n: np.ndarray, limit: int) -> list[tuple]:
+    """``flows`` (first, last, packets, size) with packets at the times ``t``, in any order, of the sizes ``n``; a gap of ``limit`` parts two flows.
+
+    Plain arrays: a key has few packets, and a data frame's own cost for each key would be a multiple of the work.
+    """
+    if not len(t):
+        return flows
+    order = np.argsort(t, kind="stable")
+    t = t[order]
+    starts = np.flatnonzero(np.diff(t, prepend=t[:1] - limit) >= limit)
+    counts = np.diff(np.append(starts, len(t)))
+    merged: list[tuple] = []
+    for first, last, pkts, total in sorted([*flows, *zip(t[starts].tolist(), np.fmax.reduceat(t, starts).tolist(), counts.tolist(), np.add.reduceat(n[order], starts).tolist(), strict=True)]):
+        if merged and first - merged[-1][1] < limit:
+            a, b, k, size = merged[-1]
+            merged[-1] = (a, max(b, last), k + pkts, size + total)
+        else:
+            merged.append((first, last, pkts, total))
+    return merged
+
+
 def stateful_flows(stream: DataFrame, key: str, time: str, size: str, timeout: float = FLOW_TIMEOUT, late: str = "0 seconds") -> DataFrame:
     """Flows with state of one's own: both directions of a key share a state, a timer ends it when both are idle.
 
@@ -35,16 +57,7 @@ def stateful_flows(stream: DataFrame, key: str, time: str, size: str, timeout: f
     def fold(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         flows = list(zip(*state.get, strict=True)) if state.exists else []
         for rows in frames if not state.hasTimedOut else ():
-            rows = rows.sort_values("t")
-            own = rows.groupby((rows["t"].diff() >= limit).cumsum()).agg(first=("t", "min"), last=("t", "max"), pkts=("t", "size"), total=("n", "sum"))
-            merged: list[tuple] = []
-            for first, last, pkts, total in sorted([*flows, *zip(*(own[c].tolist() for c in own), strict=True)]):
-                if merged and first - merged[-1][1] < limit:
-                    a, b, n, size_ = merged[-1]
-                    merged[-1] = (a, max(b, last), n + pkts, size_ + total)
-                else:
-                    merged.append((first, last, pkts, total))
-            flows = merged
+            flows = grown(flows, rows["t"].to_numpy(), rows["n"].fillna(0.0).to_numpy(), limit)
         now = state.getCurrentWatermarkMs()
         done = [(k[0], *f) for f in flows if f[1] + limit <= now * 1000]
         flows = [f for f in flows if f[1] + limit > now * 1000]
@@ -53,7 +66,8 @@ def stateful_flows(stream: DataFrame, key: str, time: str, size: str, timeout: f
             state.setTimeoutTimestamp(max(-(-(flows[0][1] + limit) // 1000), now + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(done, columns=["key", "t_first", "t_last", "pkts", "bytes"])
+        if done:  # a frame costs more than the fold
+            yield pd.DataFrame(done, columns=["key", "t_first", "t_last", "pkts", "bytes"])
 
     rows = stream.withWatermark(time, late).select(F.col(key).cast("long").alias("key"), time, F.unix_micros(time).alias("t"), F.col(size).cast("double").alias("n"))
     return rows.groupBy("key").applyInPandasWithState(fold, "key long, t_first long, t_last long, pkts long, bytes double", "first array<long>, last array<long>, pkts array<long>, total array<double>", "append", "EventTimeTimeout")

@@ -2,8 +2,10 @@
 
 import ipaddress
 import math
+import random
 import statistics
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from rillflow.functions import query as q
 from rillflow.functions.dialects import column_filter
 from rillflow.operators import arrays, flows, lookups, reports, stats, tcp
+from rillflow.streaming import sessions
 
 
 def made(spark, times, key=1):
@@ -261,3 +264,27 @@ def test_a_report_reads_its_days_alone(spark, tmp_path):
     days = reports.within(spark.read.parquet(str(tmp_path / "days")), "1970-01-03", "1970-01-05", "day", "day")
     plan = days._jdf.queryExecution().executedPlan().toString()
     assert days.count() == 3 and "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_stateful_flows_grow_from_arrays():
+    """Frames of a key in any order, with equal times and gaps just below and at the limit, give the flows of all packets sorted."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(200):
+        packets = [(rng.randrange(0, 400), float(rng.randrange(9))) for _ in range(rng.randrange(1, 40))]
+        flows, at = [], 0
+        while at < len(packets):
+            part = packets[at : at + rng.randrange(1, 9)]
+            at += len(part)
+            flows = sessions.grown(flows, np.array([t for t, _ in part]), np.array([n for _, n in part]), 10)
+        want = []
+        for t, n in sorted(packets):
+            if want and t - want[-1][1] < 10:
+                want[-1] = (want[-1][0], t, want[-1][2] + 1, want[-1][3] + n)
+            else:
+                want.append((t, t, 1, n))
+        assert flows == want
+    assert sessions.grown([(1, 2, 3, 4.0)], np.array([], int), np.array([]), 10) == [(1, 2, 3, 4.0)]
