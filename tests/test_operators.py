@@ -288,3 +288,24 @@ def test_stateful_flows_grow_from_arrays():
                 want.append((t, t, 1, n))
         assert flows == want
     assert sessions.grown([(1, 2, 3, 4.0)], np.array([], int), np.array([]), 10) == [(1, 2, 3, 4.0)]
+
+
+def test_address_numbers_of_odd_texts(spark):
+    """Only four parts of up to 255 are an address; the last may be followed by a line's end."""
+    texts = ["10.1.2.3", "255.255.255.255", "0.0.0.0", "1.2.3", "1.2.3.4.5", "1..3.4", ".1.2.3.4", "1.2.3.256", "+1.2.3.4", " 1.2.3.4", "1.2.3.4\n", "::1", "", None]
+    out = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "ip string").select(q.ip_number("ip")).collect()]
+    assert out == [int(ipaddress.ip_address(t)) for t in texts[:3]] + [None] * 7 + [16909060] + [None] * 3
+
+
+def test_lines_meet_orders_with_their_customers(spark, small, capsys):
+    """Without broadcasts the lines are shuffled for order and supplier, not for customer and nations."""
+    from rillflow.sources.tables import flows as flow_view
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        flow_view(spark, small).select("flow_ind", "src_cc", "dst_cc").explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [part for part in capsys.readouterr().out.split("\n\n") if ") Exchange" in part and "l_linenumber" in part]
+    assert len(dealt) == 2
