@@ -309,3 +309,26 @@ def test_lines_meet_orders_with_their_customers(spark, small, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     dealt = [part for part in capsys.readouterr().out.split("\n\n") if ") Exchange" in part and "l_linenumber" in part]
     assert len(dealt) == 2
+
+
+def test_blocks_of_vectors_as_they_lie():
+    """A slice of a batch gives its own rows by id, in double precision; vectors of several lengths are an error."""
+    import pyarrow as pa
+
+    from rillflow.operators.learning import _block
+
+    kind = pa.struct([("i", pa.int64()), ("v", pa.list_(pa.float32())), ("y", pa.int32())])
+    whole = pa.array([{"i": 9, "v": [9.0, 9.0], "y": 9}, {"i": 3, "v": [0.5, 1.0], "y": None}, {"i": 1, "v": [2.0, 3.0], "y": 7}, {"i": 0, "v": [1.0], "y": 0}], kind)
+    ids, vectors, labels = _block(whole[1:3])
+    assert (ids.tolist(), vectors.tolist(), vectors.dtype, labels.to_pylist()) == ([1, 3], [[2.0, 3.0], [0.5, 1.0]], np.float64, [7, None])
+    with pytest.raises(ValueError, match="lengths"):
+        _block(whole)
+
+
+def test_nearest_labels_over_many_blocks(spark):
+    """Blocks of three rows give the same labels as one block."""
+    from rillflow.operators.learning import nearest_labels
+
+    rows = spark.createDataFrame([(i, [float(i * 7 % 31), float(i * 11 % 17)], i % 3) for i in range(60)], "vec_id long, embedding array<float>, label int").repartition(3)
+    asked = rows.where("vec_id % 5 = 0")
+    assert sorted(nearest_labels(rows, asked, 4, block=3).collect()) == sorted(nearest_labels(rows, asked, 4).collect())
